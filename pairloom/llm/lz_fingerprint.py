@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -96,22 +97,13 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return len(np.intersect1d(np.intersect1d(a, b, True), union, True)) / len(union)
 
 
-def edited_signature(data: bytes, cuts: list[int], changed: bytes, kept: int) -> np.ndarray:
+def edited_signature(data: bytes, cuts: list[int], known: dict[int, int], changed: bytes, kept: int) -> np.ndarray:
     """The fingerprint of ``changed``, which shares ``data``'s first ``kept`` bytes and so the phrases that end there."""
     shared = [c for c in cuts if c <= kept]
     if shared and shared[-1] == len(data):  # the closing phrase may repeat a known one
         shared.pop()
-    known: dict[int, int] = {}
-    node, new = 0, 256
-    for i, byte in enumerate(data[: shared[-1]] if shared else b""):
-        found = known.get(node | byte)
-        if found is None:
-            known[node | byte] = new
-            new += 256
-            node = 0
-        else:
-            node = found
-    return signature(phrase_hashes(changed, parse(changed, known, shared, shared[-1] if shared else 0)[0]))
+    first = dict(islice(known.items(), len(shared)))  # each phrase but the closing one added one entry
+    return signature(phrase_hashes(changed, parse(changed, first, shared, shared[-1] if shared else 0)[0]))
 
 
 def in_order(docs: DataFrame, parts: int) -> DataFrame:
@@ -145,8 +137,8 @@ def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
         for b in batches:
             for bucket, doc_id, text, head in zip(b.bucket, b.doc_id, b.text, b["head"]):
                 data = text.encode("utf-8", "replace")
-                cuts, _ = parse(data)
-                now = (bucket, doc_id, text, data, cuts, signature(phrase_hashes(data, cuts)))
+                cuts, known = parse(data)
+                now = (bucket, doc_id, text, data, cuts, signature(phrase_hashes(data, cuts)), known)
                 if before is not None and before[0] == bucket:
                     out.append(_row(before, now))
                 before = None if head else now
@@ -164,9 +156,9 @@ COLUMNS = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerpr
 
 
 def _row(now: tuple, following: tuple) -> tuple:
-    _, doc_id, text, data, cuts, sig = now
+    _, doc_id, text, data, cuts, sig, known = now
     third = len(text) // 3
     kept = text[: len(text) - third]
     changed = (kept + following[2][:third]).encode("utf-8", "replace")
-    new = edited_signature(data, cuts, changed, len(kept.encode("utf-8", "replace")))
+    new = edited_signature(data, cuts, known, changed, len(kept.encode("utf-8", "replace")))
     return doc_id, len(text), hashlib.sha256(changed).hexdigest(), shown(sig), shown(new), likeness(sig, new), likeness(sig, following[5])
