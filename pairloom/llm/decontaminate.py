@@ -136,13 +136,16 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> Column:
     for b in range(blocks):
         part = rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else rows
         shared = spark.sparkContext.broadcast((uuid.uuid4().hex, [(r.item_id, r.text) for r in part.toLocalIterator()]))
+        found.append(_matcher(shared)(F.col(text)))
+    return F.array_sort(F.concat(*found)) if blocks > 1 else found[0]
 
-        @F.pandas_udf("array<long>")
-        def matched(texts: pd.Series, shared=shared) -> pd.Series:
-            return pd.Series(_items(shared).matches([t if isinstance(t, str) else None for t in texts]), dtype=object)
 
-        found.append(matched(F.col(text)))
-    return F.array_sort(F.concat(*found)) if blocks > 1 else found[0]
+def _matcher(shared):
+    @F.pandas_udf("array<long>")
+    def matched(texts: pd.Series) -> pd.Series:
+        return pd.Series(_items(shared).matches([t if isinstance(t, str) else None for t in texts]), dtype=object)
+
+    return matched
 
 
 def _items(shared) -> Items:

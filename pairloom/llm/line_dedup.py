@@ -28,14 +28,19 @@ LINE_END = r"(?<=\n)|(?<=[.,;:!?|] )"
 MIN_CHARS, WORDS = 40, 1 << 17
 
 
+def _computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column computed once a row: a generator keeps the optimizer from copying it into lambdas."""
+    return df.select(*df.columns, F.explode(F.array(value)).alias(name))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    """(k1, k2, lines, n) of rows with text."""
+    """(k1, k2, lines, n, h) of rows with text."""
     rows = docs.filter("text IS NOT NULL AND text != ''").select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("k1"),
-        F.xxhash64("text").alias("k2"), F.split("text", LINE_END, -1).alias("lines"),
+        F.xxhash64("text").alias("k2"), F.explode(F.array(F.split("text", LINE_END, -1))).alias("lines"),
     )
-    hashed = rows.withColumn("h", F.transform("lines", lambda x: F.xxhash64(F.rtrim(x))))
-    return hashed.withColumn("n", F.size("lines"))
+    hashed = rows.withColumn("n", F.size("lines")).filter("n > 1")
+    return _computed(hashed, "h", F.transform("lines", lambda x: F.xxhash64(F.rtrim(x))))
 
 
 def _starts(lowest: bool) -> Column:
@@ -51,13 +56,13 @@ def _starts(lowest: bool) -> Column:
 
 def chunks(docs: DataFrame) -> DataFrame:
     """(k1, k2, s, e, chunk, hash): chunks of two or more lines and enough characters, from both chunkings."""
-    rows = _keyed(docs).filter("n > 1")
-    both = rows.withColumn("starts", F.array(_starts(True), _starts(False)))
-    spans = both.withColumn("spans", F.flatten(F.transform("starts", lambda a: F.transform(a, lambda s, j: F.struct(s.alias("s"), F.coalesce(F.get(a, j + 1), F.col("n")).alias("e"))))))
-    cut = spans.withColumn("spans", F.filter("spans", lambda x: x["e"] - x["s"] > 1))
-    each = cut.withColumn("texts", F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.rtrim(F.array_join(F.slice("lines", x["s"] + 1, x["e"] - x["s"]), "")).alias("chunk"))))
-    out = each.select("k1", "k2", F.explode("texts").alias("c")).select("k1", "k2", "c.*")
-    return out.filter(F.length("chunk") >= MIN_CHARS).withColumn("hash", F.xxhash64("chunk"))
+    rows = _keyed(docs)
+    cut = rows.select("k1", "k2", "lines", "n", F.explode(F.array(_starts(True), _starts(False))).alias("starts"))
+    ends = F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array("n"))
+    spans = F.filter(F.zip_with("starts", ends, lambda s, e: F.struct(s.alias("s"), e.alias("e"))), lambda x: x["e"] - x["s"] > 1)
+    each = cut.select("k1", "k2", F.explode(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.rtrim(F.array_join(F.slice("lines", x["s"] + 1, x["e"] - x["s"]), "")).alias("chunk")))).alias("c"))
+    out = each.select("k1", "k2", "c.*").filter(F.length("chunk") >= MIN_CHARS)
+    return out.withColumn("hash", F.xxhash64("chunk"))
 
 
 def _word(h: str) -> Column:
@@ -91,9 +96,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         "text", F.struct(*names).alias("rest"),
     )
     both = row.join(gone, ["k1", "k2"], "left")
-    lines = F.split("text", LINE_END, -1)
-    kept = both.withColumn("lines", F.when(F.col("gone").isNotNull(), lines))
-    kept = kept.withColumn("stay", F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone")))
+    kept = _computed(both, "lines", F.when(F.col("gone").isNotNull(), F.split("text", LINE_END, -1)))
+    kept = _computed(kept, "stay", F.when(F.col("gone").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform("stay", lambda i: F.get("lines", i)), ""))
     out = kept.select("rest.*", text.alias("text"), F.coalesce(F.size("gone"), F.lit(0)).alias("lines_removed"))
     return out.select(*[c for c in docs.columns if c != "lines_removed"], "lines_removed")
