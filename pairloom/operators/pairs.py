@@ -107,7 +107,7 @@ def clusters(corr: DataFrame, k: int = 5) -> DataFrame:
             d[at[a], at[b]] = d[at[b], at[a]] = 1 - abs(r)
         return pd.DataFrame({"ticker": names, "cluster": stats.complete_linkage(d, k)})
 
-    return corr.groupBy(F.lit(1)).applyInPandas(link, "ticker string, cluster int")
+    return corr.withColumn("whole", F.lit(0)).groupBy("whole").applyInPandas(link, "ticker string, cluster int")
 
 
 def crossings(spread: DataFrame, column: str = "zscore") -> DataFrame:

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from pairloom.operators import metrics
 
 SCALE = 1 << 31
-PATH = Window.partitionBy("path_id").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+
+
+def path_so_far():
+    return Window.partitionBy("path_id").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
 
 
 def uniform(seed: int, *keys: str) -> Column:
@@ -39,7 +42,7 @@ def gbm(returns: DataFrame, paths: int = 10_000, horizon: int = 252, start: floa
     dt = 1 / periods
     inc = (F.col("mu") - F.col("sigma") ** 2 / 2) * dt + F.col("sigma") * math.sqrt(dt) * normal(seed, "path_id", "step")
     steps = grid(returns.sparkSession, paths, horizon).crossJoin(F.broadcast(fit)).withColumn("inc", inc)
-    return with_start(steps.withColumn("value", start * F.exp(F.sum("inc").over(PATH))), start)
+    return with_start(steps.withColumn("value", start * F.exp(F.sum("inc").over(path_so_far()))), start)
 
 
 def numbered(returns: DataFrame) -> DataFrame:
@@ -56,7 +59,7 @@ def bootstrap(returns: DataFrame, paths: int = 10_000, horizon: int = 252, start
     steps = grid(returns.sparkSession, paths, horizon).withColumn("k", F.floor((F.col("step") - 1) / block))
     pos = F.floor(uniform(seed, "path_id", "k") * (n - block)) + (F.col("step") - 1) % block
     drawn = steps.withColumn("pos", pos.cast("int")).join(F.broadcast(history), "pos")  # one row a day of history
-    return with_start(drawn.withColumn("value", start * F.product(1 + F.col("net_return")).over(PATH)), start)
+    return with_start(drawn.withColumn("value", start * F.product(1 + F.col("net_return")).over(path_so_far())), start)
 
 
 def simulate(returns: DataFrame, method: str = "bootstrap", **kw) -> DataFrame:
@@ -80,7 +83,7 @@ def terminal(paths: DataFrame, horizon: int, start: float, confidence: tuple[flo
 
 def path_drawdown(paths: DataFrame) -> DataFrame:
     """Mean, median, worst and 5 % quantile of the paths' maximum drawdowns."""
-    peak = F.max("value").over(PATH)
+    peak = F.max("value").over(path_so_far())
     each = paths.withColumn("dd", F.try_divide(F.col("value") - peak, peak)).groupBy("path_id").agg(F.min("dd").alias("dd"))
     return each.agg(F.avg("dd").alias("mean_max_dd"), F.median("dd").alias("median_max_dd"), F.min("dd").alias("worst_dd"), F.percentile("dd", F.lit(0.05)).alias("pct_5_dd"))
 

@@ -31,12 +31,22 @@ def week(ts):
     return F.date_trunc("week", ts).cast("date")
 
 
+def _exact(column: str):
+    """A sum that does not depend on the order of its rows."""
+    return F.sum(F.col(column).cast("decimal(18,4)")).cast("double")
+
+
+def _snapped(x, unit: float = 1e6):
+    """To the nearest 1 / unit, halves upwards, in plain floating point."""
+    return F.floor(x * unit + 0.5) / unit
+
+
 def raw_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ticker, date, close, volume): weekly value per unit on the full nation x week spine; missing weeks are null."""
-    seen = shipments(spark, sf_dir).groupBy("ticker", week(F.col("ts")).alias("date")).agg(F.sum("price").alias("px"), F.sum("quantity").alias("volume"))
+    seen = shipments(spark, sf_dir).groupBy("ticker", week(F.col("ts")).alias("date")).agg(_exact("price").alias("px"), _exact("quantity").alias("volume"))
     weeks = seen.agg(F.explode(F.sequence(F.min("date"), F.max("date"), F.expr("interval 7 days"))).alias("date"))
     spine = table(spark, sf_dir, "nation").select(F.col("n_name").alias("ticker")).crossJoin(weeks)  # 25 x weeks
-    return spine.join(seen, ["ticker", "date"], "left").select("ticker", "date", F.round(F.try_divide("px", "volume"), 6).alias("close"), "volume")
+    return spine.join(seen, ["ticker", "date"], "left").select("ticker", "date", _snapped(F.try_divide("px", "volume")).alias("close"), "volume")
 
 
 def index_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +66,7 @@ def event_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ohlcv(spark: SparkSession, sf_dir: str, tickers: Iterable[str] | None = None) -> DataFrame:
     """(ticker, date, open, high, low, close, volume) per week from single lines; equal times are ordered by price."""
-    rows = shipments(spark, sf_dir).withColumn("unit", F.round(F.col("price") / F.col("quantity"), 6))
+    rows = shipments(spark, sf_dir).withColumn("unit", _snapped(F.col("price") / F.col("quantity")))
     if tickers is not None:
         rows = rows.filter(F.col("ticker").isin(list(tickers)))
     return rows.groupBy("ticker", week(F.col("ts")).alias("date")).agg(
