@@ -295,12 +295,12 @@ def rank_input(s, d):
     """Stand-in p-values that SQL can compute, for the ranking alone."""
     c = P.correlation(return_legs(s, d)).select(*PAIR, F.round(F.abs("correlation"), 6).alias("eg_pvalue"))
     h = S.half_life(S.ols(log_legs(s, d))).withColumn("half_life", F.round("half_life", 4))
-    return c.join(h, [*PAIR]).withColumn("adf_pvalue", F.round(F.col("eg_pvalue") / 2, 6)).withColumn("is_cointegrated", F.col("eg_pvalue") <= 0.08)
+    return c.join(h, [*PAIR]).withColumn("adf_pvalue", F.col("eg_pvalue") * 0.5).withColumn("is_cointegrated", F.col("eg_pvalue") <= 0.08)
 
 
 _STAT = f"""SELECT {K}, eg_pvalue, half_life, 0.4 * (1 - CASE WHEN max(eg_pvalue) OVER () = min(eg_pvalue) OVER () THEN 0 ELSE (eg_pvalue - min(eg_pvalue) OVER ()) / (max(eg_pvalue) OVER () - min(eg_pvalue) OVER ()) END)
   + 0.3 * (1 - CASE WHEN max(adf) OVER () = min(adf) OVER () THEN 0 ELSE (adf - min(adf) OVER ()) / (max(adf) OVER () - min(adf) OVER ()) END) + 0.3 * least(greatest(1 - abs(half_life - 32.5) / 32.5, 0), 1) AS stat_score
-  FROM (SELECT {K}, eg_pvalue, round(eg_pvalue / 2, 6) AS adf, round(CASE WHEN s >= 0 THEN CAST('Infinity' AS DOUBLE) ELSE -ln(2) / s END, 4) AS half_life FROM ({_RANKIN}) JOIN ouf USING (ticker_a, ticker_b)) WHERE eg_pvalue <= 0.08 AND half_life BETWEEN 5 AND 60"""
+  FROM (SELECT {K}, eg_pvalue, eg_pvalue * 0.5 AS adf, round(CASE WHEN s >= 0 THEN CAST('Infinity' AS DOUBLE) ELSE -ln(2) / s END, 4) AS half_life FROM ({_RANKIN}) JOIN ouf USING (ticker_a, ticker_b)) WHERE eg_pvalue <= 0.08 AND half_life BETWEEN 5 AND 60"""
 query("stat_score", statement(f"SELECT {K}, round(stat_score, 9) AS stat_score FROM ({_STAT})"), 9)(lambda s, d: R.stat_score(rank_input(s, d).filter(F.col("is_cointegrated") & F.col("half_life").between(5, 60))).select(*PAIR, "stat_score"))
 query("rank_pairs", statement(f"SELECT {K}, round(stat_score, 9) AS stat_score, 0.5 AS ml_score, round(0.5 * stat_score + 0.25, 9) AS composite FROM ({_STAT}) ORDER BY round(0.5 * stat_score + 0.25, 9) DESC, ticker_a, ticker_b LIMIT 10").replace("0.5 AS ml_score", "CAST(0.5 AS DOUBLE) AS ml_score"), 9)(lambda s, d: R.rank(rank_input(s, d), top=10).select(*PAIR, "stat_score", "ml_score", "composite"))
 
