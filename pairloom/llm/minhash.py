@@ -1,9 +1,10 @@
 """MinHash near-deduplication with odd sketches.
 
 Every document's distinct five-word shingles are hashed to 64 bits; 128 MinHash samples give
-32 bands of four, and the samples are folded into a 512-bit parity bitmap, the odd sketch.
-Documents with equal sets are joined by their sets' digest first, so only one representative
-of each set goes on. Within a bucket of a band each member is tested against one hub, never
+32 bands of four. A second MinHash, of one sample in each of 1024 bins of the hash range, is
+folded into a 2048-bit parity bitmap, the odd sketch. Documents with equal sets are joined by
+their sets' digest first, so only one representative of each set goes on. Within a bucket of a
+band each member is tested against one hub, the member whose buckets are the fullest, never
 all pairs; the population count of two sketches' XOR estimates the symmetric difference and
 drops hopeless candidates, the rest are confirmed on full shingle sets. Members of one
 bucket that are still in different components afterwards are then tested against each other,
@@ -28,9 +29,9 @@ from pyspark.sql import functions as F
 
 from pairloom.llm.common import mixed, word_memo, written
 
-WORDS, SAMPLES, BANDS, BITS = 5, 128, 32, 512
-#: XOR counts above this are hopeless: at similarity 0.75 the count is 57 with deviation 10.
-MAX_XOR = 105
+WORDS, SAMPLES, BANDS = 5, 128, 32
+BINS, BITS = 1024, 2048
+LEAST = 0.75
 _P = np.uint64(0x100000001B3)
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 1 << 32, SAMPLES, dtype=np.uint32) | np.uint32(1)
@@ -69,12 +70,12 @@ def bands(m: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def odd_sketches(m: np.ndarray) -> np.ndarray:
-    """(rows, 8) words of 64 bits: bit b holds the parity of the samples that hash to b."""
-    at = mixed(m.astype(np.uint64) + np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(BITS - 1)
-    flat = (np.arange(len(m))[:, None] * BITS + at.astype(np.int64)).ravel()
-    parity = (np.bincount(flat, minlength=len(m) * BITS) & 1).astype(np.uint8)
-    return np.packbits(parity.reshape(len(m), BITS), axis=1).view(np.int64)
+def odd_sketch(s: np.ndarray) -> np.ndarray:
+    """BITS / 64 words: bit b holds the parity of the bins' smallest hashes that fall on b. ``s`` is sorted, so these come first in their bins."""
+    bin_ = (s >> np.uint64(64 - 10)).astype(np.int64)
+    first = np.flatnonzero(np.diff(bin_, prepend=-1))
+    at = (mixed(s[first] + np.uint64(1)) & np.uint64(BITS - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
 def xor_count(a: str, b: str) -> Column:
@@ -82,6 +83,24 @@ def xor_count(a: str, b: str) -> Column:
     return reduce(lambda x, y: x + y, (F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(BITS // 64)))
 
 
+def most_xor(na: str, nb: str) -> Column:
+    """The XOR count that a link of sets of these sizes exceeds with probability under 1e-4.
+
+    With B bins, sizes n and union u = (na + nb) / (1 + J), the samples differ in
+    B (2 - e^(-na/B) - e^(-nb/B)) - 2 J m places on average, m = B (1 - e^(-u/B)); only bins
+    with two or more of the union's hashes add variance. D differences set
+    BITS / 2 (1 - e^(-2D/BITS)) bits.
+    """
+    x, y, b = F.col(na).cast("double"), F.col(nb).cast("double"), float(BINS)
+    u = (x + y) / (1 + LEAST)
+    m = b * (1 - F.exp(-u / b))
+    crowded = 1 - u * F.exp(-u / b) / m
+    mean = b * (2 - F.exp(-x / b) - F.exp(-y / b)) - 2 * LEAST * m
+    d = F.greatest(mean, F.lit(0.0)) + 4 * 2 * F.sqrt(LEAST * (1 - LEAST) * m * F.greatest(crowded, F.lit(0.0))) + 4
+    set_ = BITS / 2 * (1 - F.exp(-2 * d / BITS))
+    return set_ + 4 * F.sqrt(F.greatest(BITS / 4 * (1 - F.exp(-4 * d / BITS)) - d * F.exp(-4 * d / BITS), F.lit(0.0)))
+
+
 def _lists(x: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
 
@@ -97,7 +116,7 @@ def features(docs: DataFrame) -> DataFrame:
             m = np.stack([samples(s) if len(s) else np.zeros(SAMPLES, np.uint32) for s in sets])
             digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), _lists(bands(m)), _lists(odd_sketches(m))],
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), _lists(bands(m)), _lists(np.stack([odd_sketch(s) for s in sets]))],
                 names=["doc_id", "n_shingles", "digest", "bands", "sketch"],
             )
 
@@ -121,9 +140,9 @@ def confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, screened:
     """The rows of ``pairs`` (a, b) whose sketches allow a link and whose full sets confirm it."""
     if not screened:
         pairs = (
-            pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a")
-            .join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
-            .filter(xor_count("sa", "sb") <= MAX_XOR).select("a", "b")
+            pairs.join(sketches.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
+            .join(sketches.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
+            .filter(xor_count("sa", "sb") <= most_xor("na", "nb")).select("a", "b")
         )
     full = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("xa")), "a").join(
         sets.select(F.col("id").alias("b"), F.col("shingles").alias("xb")), "b"
@@ -169,17 +188,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
     made = written(features(docs), "features")
     named = made.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    same = written(named.groupBy("digest").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("r")).select("digest", F.col("r.doc_id").alias("id"), "r.bands", "r.sketch"), "sets")
-    sketches = same.select("id", "sketch")
+    same = written(named.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "sketch")).alias("r")).select("digest", F.col("r.doc_id").alias("id"), F.col("r.n_shingles").alias("n"), "r.bands", "r.sketch"), "sets")
+    sketches = same.select("id", "n", "sketch")
     rows = same.select("id", F.explode("bands").alias("bucket"))
-    hubs = rows.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub != last").select("bucket", "hub")
-    members = written(rows.join(hubs, "bucket"), "members")
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = written(rows.join(sizes, "bucket"), "shared")
+    weight = shared.groupBy("id").agg(F.sum("size").alias("weight"))
+    hubs = shared.join(weight, "id").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("i"))).alias("hub"))
+    members = written(shared.join(hubs, "bucket").select("bucket", "id", (-F.col("hub.i")).alias("hub"), F.col("hub.weight").alias("weight")), "members")
     wanted = members.select("id").distinct()
     texts = docs.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select("doc_id", "text")
     sets = written(shingle_table(texts), "shingles")
 
-    # First each document's smallest hub; most components are whole after that.
-    spokes = members.filter("id != hub").groupBy("id").agg(F.min("hub").alias("hub")).select(F.col("id").alias("a"), F.col("hub").alias("b"))
+    # First each document's heaviest hub; most components are whole after that.
+    spokes = members.filter("id != hub").groupBy("id").agg(F.max(F.struct("weight", (-F.col("hub")).alias("i"))).alias("h")).select(F.col("id").alias("a"), (-F.col("h.i")).alias("b"))
     roots = written(components(confirmed(spokes, sketches, sets)), "roots")
     # Then every other hub that is still in another component.
     spokes = members.filter("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
@@ -192,9 +214,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mixed_up = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("bucket")
     placed = written(placed.join(mixed_up, "bucket", "left_semi").join(sketches, "id"), "placed")
     if not placed.isEmpty():
-        left = placed.select("bucket", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("sketch").alias("sa"))
-        right = placed.select("bucket", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("sketch").alias("sb"))
-        pairs = left.join(right, "bucket").filter((F.col("ra") < F.col("rb")) & (xor_count("sa", "sb") <= MAX_XOR)).select("a", "b").distinct()
+        left = placed.select("bucket", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+        right = placed.select("bucket", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+        pairs = left.join(right, "bucket").filter((F.col("ra") < F.col("rb")) & (xor_count("sa", "sb") <= most_xor("na", "nb"))).select("a", "b").distinct()
         links = written(confirmed(pairs, sketches, sets, screened=True), "links")
         if not links.isEmpty():
             roots = _joined(roots, links)
