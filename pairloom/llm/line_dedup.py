@@ -4,7 +4,8 @@ A line here ends at a line feed, or after a mark and the blank that follows it,
 passage pasted into a paragraph still consists of whole lines. Hashes of neighbouring lines,
 rolled over the text, choose the boundaries: one chunking cuts before each local minimum of
 the line hashes and a second one before each local maximum. A boundary depends on three
-lines, so text inserted before it cannot move it, and a chunk has at least two lines. Chunks
+lines, so text inserted before it cannot move it, and a chunk has at least two lines. The
+whole text is a chunk too, so that of exact copies one stays and nothing of the others. Chunks
 of ``MIN_CHARS`` or more that occur elsewhere too, equal byte for byte, are removed wherever
 they are not the first occurrence (by doc_id, then position); the first one stays.
 
@@ -55,12 +56,16 @@ def _starts(lowest: bool) -> Column:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """(k1, k2, s, e, chunk, hash): chunks of two or more lines and enough characters, from both chunkings."""
+    """(k1, k2, s, e, chunk, hash): chunks of two or more lines and enough characters, from all chunkings."""
     rows = _keyed(docs)
-    cut = rows.select("k1", "k2", "lines", "n", F.explode(F.array(_starts(True), _starts(False))).alias("starts"))
-    ends = F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array("n"))
-    spans = F.filter(F.zip_with("starts", ends, lambda s, e: F.struct(s.alias("s"), e.alias("e"))), lambda x: x["e"] - x["s"] > 1)
-    each = cut.select("k1", "k2", F.explode(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.rtrim(F.array_join(F.slice("lines", x["s"] + 1, x["e"] - x["s"]), "")).alias("chunk")))).alias("c"))
+    cut = rows.select("k1", "k2", "lines", "n", F.explode(F.array(F.array(_starts(True), _starts(False), F.array(F.lit(0))))).alias("starts"))
+
+    def spans(a: Column) -> Column:
+        ends = F.concat(F.slice(a, F.lit(2), F.size(a)), F.array("n"))
+        return F.filter(F.zip_with(a, ends, lambda s, e: F.struct(s.alias("s"), e.alias("e"))), lambda x: x["e"] - x["s"] > 1)
+
+    every = F.array_distinct(F.flatten(F.transform("starts", spans)))
+    each = cut.select("k1", "k2", F.explode(F.transform(every, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.rtrim(F.array_join(F.slice("lines", x["s"] + 1, x["e"] - x["s"]), "")).alias("chunk")))).alias("c"))
     out = each.select("k1", "k2", "c.*").filter(F.length("chunk") >= MIN_CHARS)
     return out.withColumn("hash", F.xxhash64("chunk"))
 

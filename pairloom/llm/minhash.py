@@ -96,9 +96,11 @@ def most_xor(na: str, nb: str) -> Column:
     m = b * (1 - F.exp(-u / b))
     crowded = 1 - u * F.exp(-u / b) / m
     mean = b * (2 - F.exp(-x / b) - F.exp(-y / b)) - 2 * LEAST * m
-    d = F.greatest(mean, F.lit(0.0)) + 4 * 2 * F.sqrt(LEAST * (1 - LEAST) * m * F.greatest(crowded, F.lit(0.0))) + 4
-    set_ = BITS / 2 * (1 - F.exp(-2 * d / BITS))
-    return set_ + 4 * F.sqrt(F.greatest(BITS / 4 * (1 - F.exp(-4 * d / BITS)) - d * F.exp(-4 * d / BITS), F.lit(0.0)))
+    d = F.greatest(mean, F.lit(0.0))
+    spread = 4 * LEAST * (1 - LEAST) * m * F.greatest(crowded, F.lit(0.0))  # variance of D
+    kept = F.exp(-2 * d / BITS)
+    folded = F.greatest(BITS / 4 * (1 - kept**2) - d * kept**2, F.lit(0.0))  # variance that folding adds
+    return BITS / 2 * (1 - kept) + 4 * F.sqrt(spread * kept**2 + folded) + 3
 
 
 def _lists(x: np.ndarray) -> pa.ListArray:

@@ -5,8 +5,8 @@ ascending ids: a reader prunes them by the min/max row index, tests the Bloom fi
 single ids, and reads stripes in parallel. ``start`` positions are not stored: they follow
 from a running sum over the files' totals (one row per file) and within each file.
 
-Edge cases: a null or empty text has the end id alone; an empty table writes no rows; repeated
-ids stay separate rows, in the order of their ids' bytes; a null id sorts first; extra columns
+Edge cases: a null or empty text has the end id alone; an empty table writes no rows; rows that
+repeat an id stay separate, ordered by the digest of their token ids; a null id sorts first; extra columns
 are not written.
 """
 
@@ -76,9 +76,9 @@ def positions(spark: SparkSession, path: str) -> DataFrame:
     rows = stored.mapInArrow(digest, "doc_id long, file string, block long, n_tokens long, ids_crc32 long")
     # One row per file block: as many as read tasks, which is what the broadcast holds.
     blocks = rows.groupBy("file", "block").agg(F.sum("n_tokens").alias("total"), F.min("doc_id").alias("low"), F.count("*").alias("n"))
-    order = Window.orderBy(F.col("low").asc_nulls_first(), "file", "block")
+    order = Window.orderBy(F.col("low").asc_nulls_first(), "file", "block").rowsBetween(Window.unboundedPreceding, 0)
     before = blocks.select("file", "block", (F.sum("total").over(order) - F.col("total")).alias("before"))
-    inside = Window.partitionBy("file", "block").orderBy(F.col("doc_id").asc_nulls_first(), "ids_crc32", "n_tokens")
+    inside = Window.partitionBy("file", "block").orderBy(F.col("doc_id").asc_nulls_first(), "ids_crc32", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     return rows.join(F.broadcast(before), ["file", "block"]).select(
         "doc_id", (F.col("before") + F.sum("n_tokens").over(inside) - F.col("n_tokens")).alias("start"), "n_tokens", "ids_crc32"
     )
