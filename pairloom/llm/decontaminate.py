@@ -1,6 +1,6 @@
 """Benchmark decontamination: CGK random walks, bit-sampling LSH, exact edit distance.
 
-Items and documents become sequences of lower-cased words. A window of an item's size is laid
+Items and documents become sequences of lower-cased words without ASCII punctuation. A window of an item's size is laid
 wherever a document holds one of the item's ``ANCHORS`` rarest words, aligned by the word's
 place in the item. Windows are embedded by the CGK random walk: at step j the walk emits its
 current word and advances by a random bit of (j, word), so that a small edit distance becomes
@@ -18,7 +18,6 @@ ends, punctuation or case still matches; extra columns are not read.
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections import Counter
 from itertools import repeat
@@ -28,31 +27,27 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import process_cache
+from pairloom.llm.common import plain_words, process_cache
 
 ANCHORS, REPEATS, BITS, BLOCK = 10, 24, 2, 5000
-_NOT_WORD = re.compile(r"[^\w]+")
-
-
-def words(text: str | None) -> list[str]:
-    return _NOT_WORD.sub(" ", text.lower()).split() if text else []
 
 
 class Items:
     """A block of items, indexed. Words of the block are numbered from 1; 0 is any other word."""
 
     def __init__(self, rows: list[tuple[int, str]]):
-        texts = [(i, w) for i, w in ((i, words(t)) for i, t in sorted(rows, key=lambda r: (r[0], r[1] or ""))) if w]
+        texts = [(i, w) for i, w in ((i, plain_words(t)) for i, t in sorted(rows, key=lambda r: (r[0], r[1] or ""))) if w]
         self.ids = np.array([i for i, _ in texts], np.int64)
-        self.vocabulary: dict[str, int] = {}
+        self.vocabulary: dict[bytes, int] = {}
         self.seqs = [np.array([self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w], np.int32) for _, w in texts]
         self.sizes = np.array([len(s) for s in self.seqs], np.int64)
-        names = [""] + list(self.vocabulary)
+        names = [b""] + list(self.vocabulary)
         df = Counter(x for s in self.seqs for x in set(s.tolist()))
         spots: list[tuple[int, int, int]] = []
         for k, s in enumerate(self.seqs):
             order = sorted(range(len(s)), key=lambda o: (df[int(s[o])], -len(names[s[o]]), o))
             spots += [(int(s[o]), k, o) for o in order[:ANCHORS]]
+        self.anchors = np.minimum(self.sizes, ANCHORS)
         spots.sort()
         self.spots = np.array(spots, np.int64).reshape(-1, 3)
         self.first = np.searchsorted(self.spots[:, 0], np.arange(len(names) + 1))
@@ -99,7 +94,7 @@ class Items:
             return [[] for _ in found]
         get, parts = self.vocabulary.get, []
         for t in texts:
-            w = words(t)
+            w = plain_words(t)
             parts.append(np.fromiter(map(get, w, repeat(0)), np.int32, len(w)))
         sizes = np.array([len(p) for p in parts], np.int64)
         ends = np.cumsum(sizes)
@@ -112,8 +107,14 @@ class Items:
         row = np.repeat(self.first[flat[at]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         item, start = self.spots[row, 1], np.repeat(at, n) - self.spots[row, 2]
         doc = np.repeat(np.searchsorted(ends, at, side="right"), n)
-        _, one = np.unique(np.stack([doc, item, start]), axis=1, return_index=True)
-        item, start, doc = item[one], start[one], doc[one]
+        # A window needs a second anchor at nearly the same place, as any match has several of them.
+        key = doc * len(self.seqs) + item
+        order = np.lexsort((start, key))
+        key, item, start, doc = key[order], item[order], start[order], doc[order]
+        close = (key[1:] == key[:-1]) & (start[1:] - start[:-1] <= self.sizes[item[1:]] // 4)
+        voted = np.append(close, False) | np.append(False, close) | (self.anchors[item] < 2)
+        voted &= np.append(True, (key[1:] != key[:-1]) | (start[1:] != start[:-1]))  # one window a place
+        item, start, doc = item[voted], start[voted], doc[voted]
         for s in range(0, len(item), 20_000):
             it, st, d = item[s : s + 20_000], start[s : s + 20_000], doc[s : s + 20_000]
             seen = self.embedded(flat, it, st, ends[d] - sizes[d], ends[d])
