@@ -143,7 +143,7 @@ def hurst(x: np.ndarray, longest: int = 100) -> float:
     for lag in range(2, min(longest, n // 2)):
         k = len(range(0, n - lag, lag))
         c = x[: k * lag].reshape(k, lag)
-        c = c[c.std(axis=1) > 0]
+        c = c[c.std(axis=1) > 1e-12]  # equal values may leave rounding noise
         if len(c):
             walk = np.cumsum(c - c.mean(axis=1, keepdims=True), axis=1)
             rs = np.mean((walk.max(axis=1) - walk.min(axis=1)) / c.std(axis=1))

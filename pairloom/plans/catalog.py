@@ -191,7 +191,7 @@ query("hurst", statement(f"""SELECT {K}, round(regr_slope(ln(rs), ln(lag)), 5) A
   SELECT {K}, lag, chunk, (max(walk) - min(walk)) / max(sd) AS rs FROM (SELECT {K}, lag, chunk, sd, sum(spread - m) OVER (PARTITION BY {K}, lag, chunk ORDER BY pos ROWS UNBOUNDED PRECEDING) AS walk FROM (
     SELECT {K}, lag, pos // lag AS chunk, pos, spread, avg(spread) OVER (PARTITION BY {K}, lag, pos // lag) AS m, stddev_pop(spread) OVER (PARTITION BY {K}, lag, pos // lag) AS sd, n
     FROM (SELECT {K}, spread, row_number() OVER (PARTITION BY {K} ORDER BY date) - 1 AS pos, count(*) OVER (PARTITION BY {K}) AS n FROM spr) CROSS JOIN (SELECT unnest(generate_series(2, 99)) AS lag)
-    WHERE lag < n // 2 AND pos < ((n - lag + lag - 1) // lag) * lag) WHERE sd > 0) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3) GROUP BY 1, 2""".replace("GROUP BY 1, 2, 3, 4)", "GROUP BY ticker_a, ticker_b, lag, chunk)").replace("GROUP BY 1, 2, 3)", "GROUP BY ticker_a, ticker_b, lag)")), 5)(lambda s, d: S.hurst(S.ols(log_legs(s, d))))
+    WHERE lag < n // 2 AND pos < ((n - lag + lag - 1) // lag) * lag) WHERE sd > 1e-12) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3) GROUP BY 1, 2""".replace("GROUP BY 1, 2, 3, 4)", "GROUP BY ticker_a, ticker_b, lag, chunk)").replace("GROUP BY 1, 2, 3)", "GROUP BY ticker_a, ticker_b, lag)")), 5)(lambda s, d: S.hurst(S.ols(log_legs(s, d))))
 query("zero_crossings", statement(f"SELECT {K}, CAST(coalesce(sum(CAST(p * zscore < 0 AS INTEGER)), 0) AS BIGINT) AS n_crossings FROM (SELECT *, lag(zscore) OVER (PARTITION BY {K} ORDER BY date) AS p FROM zed WHERE zscore IS NOT NULL) GROUP BY 1, 2"))(lambda s, d: P.crossings(zscored(s, d)))
 query("kalman_spread", statement(f"SELECT k.ticker_a, k.ticker_b, l.date, round(m1, 5) + 0.0 AS hedge_ratio, round(m2, 5) + 0.0 AS intercept, round(l.a - m1 * l.b - m2, 5) + 0.0 AS spread FROM kal k JOIN lr l ON l.ticker_a = k.ticker_a AND l.ticker_b = k.ticker_b AND l.rn = k.rn"), 5)(
     lambda s, d: S.kalman(log_legs(s, d)).select(*PAIR, "date", "hedge_ratio", "intercept", "spread")
