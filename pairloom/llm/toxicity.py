@@ -96,23 +96,24 @@ def sigmoid(x):
 def ftrl(rows: list[tuple[np.ndarray, int]], p: FtrlParams) -> tuple[float, np.ndarray]:
     """Intercept and dense weights. Coordinate 2**bits is the intercept, which has no L1."""
     size = (1 << p.bits) + 1
-    z, n = np.zeros(size), np.zeros(size)
+    z, root = np.zeros(size), np.zeros(size)  # root: square root of the summed squared gradients
     last = size - 1
+    l1 = np.full(size, p.l1)
+    l1[last] = 0.0
 
-    def weights(at: np.ndarray) -> np.ndarray:
-        penalty = np.where(at == last, 0.0, p.l1)
-        shrunk = np.sign(z[at]) * penalty - z[at]
-        return np.where(np.abs(z[at]) <= penalty, 0.0, shrunk / ((p.beta + np.sqrt(n[at])) / p.alpha + p.l2))
+    def weights(z: np.ndarray, root: np.ndarray, l1: np.ndarray) -> np.ndarray:
+        return (np.clip(z, -l1, l1) - z) / ((p.beta + root) / p.alpha + p.l2)
 
     for _ in range(p.epochs):
         for slots, label in rows:
             at = np.append(slots, last)
-            w = weights(at)
+            z_at, before = z[at], root[at]
+            w = weights(z_at, before, l1[at])
             g = sigmoid(w.sum()) - label
-            root = np.sqrt(n[at] + g * g)
-            z[at] += g - (root - np.sqrt(n[at])) / p.alpha * w
-            n[at] += g * g
-    w = weights(np.arange(size))
+            after = np.sqrt(before * before + g * g)
+            z[at] = z_at + g - (after - before) / p.alpha * w
+            root[at] = after
+    w = weights(z, root, l1)
     return float(w[last]), w[:last]
 
 
