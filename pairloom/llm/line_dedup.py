@@ -1,15 +1,18 @@
-"""Line deduplication by content-defined chunks of lines, in DataFrame functions alone.
+"""Line deduplication by windows and content-defined chunks of lines, in DataFrame functions alone.
 
 A line here ends at a line feed, or after a mark and the blank that follows it, so that a
-passage pasted into a paragraph still consists of whole lines. Hashes of neighbouring lines,
-rolled over the text, choose the boundaries: one chunking cuts before each local minimum of
-the line hashes and a second one before each local maximum. A boundary depends on three
-lines, so text inserted before it cannot move it, and a chunk has at least two lines. The
-whole text is a chunk too, so that of exact copies one stays and nothing of the others. Chunks
-of ``MIN_CHARS`` or more that occur elsewhere too, equal byte for byte, are removed wherever
-they are not the first occurrence (by doc_id, then position); the first one stays.
-
-Chunk hashes that occur twice are noted in a bitmap of fixed size (2**17 words of 64 bits),
+passage pasted into a paragraph still consists of whole lines. A window starts at every line
+and holds as few lines, one at least, as give ``LONG`` characters (some two usual lines); the
+last window of a text runs to its end. A window depends on its own text alone, so any run of
+whole lines with ``LONG`` characters that two texts share holds equal windows; the line after a
+window goes too where it equals the one after the first occurrence. Shorter repeats, from
+``MIN_CHARS`` characters and two lines on, go by chunks: hashes of neighbouring lines, rolled
+over the text, choose the boundaries, one chunking before each local minimum of the line hashes
+and a second one before each local maximum; a whole text is a chunk too. Windows and chunks that
+occur elsewhere too, equal byte for byte, are removed wherever they are not the first occurrence
+(by doc_id, then position); the first one stays.
+
+Hashes that occur twice are noted in a bitmap of fixed size (2**17 words of 64 bits),
 which is broadcast; it only lets more candidates through as it fills. Counting is partial
 before it is shuffled, and the join on a hash holds no group together.
 
@@ -26,7 +29,14 @@ from pyspark.sql import functions as F
 from pairloom.llm.common import written
 
 LINE_END = r"(?<=\n)|(?<=[.,;:!?|] )"
-MIN_CHARS, WORDS = 40, 1 << 17
+MIN_CHARS, LONG, WORDS = 40, 64, 1 << 17
+_END, _STOP = r"(?:\n|[.,;:!?|] )", r"(?=\n|(?<=[.,;:!?|]) |\z)"
+#: A window, without its last line feed or blank, from where a line starts.
+WINDOW = rf"(?s)\A.{{{LONG},}}?{_STOP}"
+#: Matches one line after another; the group holds the window that starts there and the line after it.
+WINDOWS = rf"(?s)(?=(.{{{LONG},}}?{_STOP}(?:[ \n].*?{_STOP})?|)).*?(?:{_END}|\z)"
+#: The fewest last lines with enough characters.
+TAIL = rf"(?s)\A(?:.*{_END})?(.{{{LONG},}})\z"
 
 
 def _computed(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -55,8 +65,27 @@ def _starts(lowest: bool) -> Column:
     return F.filter(F.sequence(F.lit(0), F.col("n") - 1), cut)
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """(k1, k2, s, e, chunk, hash): chunks of two or more lines and enough characters, from all chunkings."""
+def _lines(text: str) -> Column:
+    return F.size(F.split(text, LINE_END, -1))
+
+
+def windows(docs: DataFrame) -> DataFrame:
+    """(k1, k2, s, chunk, next): the windows of each text by their first line, and the line after."""
+    rows = docs.filter(F.length("text") >= LONG).select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("k1"), F.xxhash64("text").alias("k2"), "text",
+    )
+    rows = _computed(rows, "some", F.regexp_extract_all("text", F.lit(WINDOWS), F.lit(1)))
+    rows = _computed(rows, "tail", F.regexp_extract("text", TAIL, 1))
+    rows = _computed(rows, "last", _lines("text") - _lines("tail")).withColumn("m", F.size("some"))
+    rows = _computed(rows, "end", F.when(F.col("tail") != F.get("some", "last"), F.col("tail")).otherwise(""))
+    each = rows.select("k1", "k2", "m", "last", F.posexplode(F.concat("some", F.array("end"))).alias("pos", "both")).filter("both != ''")
+    is_last = F.col("pos") == F.col("m")
+    each = _computed(each, "chunk", F.when(is_last, F.col("both")).otherwise(F.regexp_extract("both", WINDOW, 0)))
+    return each.select("k1", "k2", F.when(is_last, F.col("last")).otherwise(F.col("pos")).alias("s"), "chunk", F.expr("substring(both, length(chunk) + 1)").alias("next"))
+
+
+def short_chunks(docs: DataFrame) -> DataFrame:
+    """(k1, k2, s, chunk, next): chunks of two or more lines, too short for windows, from all chunkings."""
     rows = _keyed(docs)
     cut = rows.select("k1", "k2", "lines", "n", F.explode(F.array(F.array(_starts(True), _starts(False), F.array(F.lit(0))))).alias("starts"))
 
@@ -65,9 +94,13 @@ def chunks(docs: DataFrame) -> DataFrame:
         return F.filter(F.zip_with(a, ends, lambda s, e: F.struct(s.alias("s"), e.alias("e"))), lambda x: x["e"] - x["s"] > 1)
 
     every = F.array_distinct(F.flatten(F.transform("starts", spans)))
-    each = cut.select("k1", "k2", F.explode(F.transform(every, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.rtrim(F.array_join(F.slice("lines", x["s"] + 1, x["e"] - x["s"]), "")).alias("chunk")))).alias("c"))
-    out = each.select("k1", "k2", "c.*").filter(F.length("chunk") >= MIN_CHARS)
-    return out.withColumn("hash", F.xxhash64("chunk"))
+    each = cut.select("k1", "k2", F.explode(F.transform(every, lambda x: F.struct(x["s"].alias("s"), F.rtrim(F.array_join(F.slice("lines", x["s"] + 1, x["e"] - x["s"]), "")).alias("chunk")))).alias("c"))
+    return each.select("k1", "k2", "c.s", "c.chunk", F.lit("").alias("next")).filter(F.length("chunk").between(MIN_CHARS, LONG - 1))
+
+
+def chunks(docs: DataFrame) -> DataFrame:
+    """(k1, k2, s, chunk, next, hash) of all windows and chunks; ``next`` is not hashed."""
+    return windows(docs).unionByName(short_chunks(docs)).withColumn("hash", F.xxhash64("chunk"))
 
 
 def _word(h: str) -> Column:
@@ -83,13 +116,15 @@ def removals(docs: DataFrame) -> DataFrame:
     repeated = chunks(docs).groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
     bitmap = repeated.groupBy(_word("hash").alias("word")).agg(F.bit_or(_bit("hash")).alias("bits"))
     marked = chunks(docs).withColumn("word", _word("hash")).join(F.broadcast(bitmap), "word").filter((F.col("bits").bitwiseAND(_bit("hash"))) != 0)
-    found = written(marked.select("hash", "k1", "k2", "s", "e", "chunk"), "chunks")
-    first = found.groupBy("hash").agg(F.min(F.struct("k1", "k2", "s", "e")).alias("first"), F.max(F.struct("k1", "k2", "s", "e")).alias("last")).filter("first != last").select("hash", "first")
-    marks = found.join(first, "hash").withColumn("is_first", F.struct("k1", "k2", "s", "e") == F.col("first"))
-    original = marks.filter("is_first").select("hash", F.col("chunk").alias("original"))
+    found = written(marked.select("hash", "k1", "k2", "s", "chunk", "next"), "chunks")
+    first = found.groupBy("hash").agg(F.min(F.struct("k1", "k2", "s")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("hash", "first")
+    marks = found.join(first, "hash").withColumn("is_first", F.struct("k1", "k2", "s") == F.col("first"))
+    original = marks.filter("is_first").select("hash", F.col("chunk").alias("original"), F.col("next").alias("following")).distinct()
     copies = marks.filter("NOT is_first").join(original, "hash").filter("chunk = original")  # the byte comparison
-    spots = copies.select("k1", "k2", F.explode(F.sequence(F.col("s"), F.col("e") - 1)).alias("i")).distinct()
-    return spots.groupBy("k1", "k2").agg(F.collect_list("i").alias("gone"))
+    copies = copies.withColumn("chunk", F.when(F.col("next") == F.col("following"), F.concat("chunk", "next")).otherwise(F.col("chunk")))
+    spans = copies.select("k1", "k2", F.struct("s", (F.col("s") + _lines("chunk")).alias("e")).alias("span"))
+    lines = F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["s"], x["e"] - 1))))
+    return spans.groupBy("k1", "k2").agg(F.collect_list("span").alias("spans")).select("k1", "k2", lines.alias("gone"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

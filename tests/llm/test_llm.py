@@ -172,6 +172,42 @@ def test_line_dedup_keeps_the_first_copy(spark, odd, none):
     assert line_dedup.deduplicated(none).count() == 0
 
 
+def repeated_runs(rows, least=50):
+    """(doc_id, text) of each run of ``least`` words or more that an earlier document holds; runs of few distinct words left out."""
+    seen, runs = set(), []
+    for i, t in sorted(rows):
+        words = [m.span() for m in re.finditer(r"\S+", t)]
+        grams = [hash(tuple(t[a:b] for a, b in words[k : k + least])) for k in range(len(words) - least + 1)]
+        k = 0
+        while k < len(grams):
+            j = k
+            while j < len(grams) and grams[j] in seen:
+                j += 1
+            run = t[words[k][0] : words[j + least - 2][1]] if j > k else ""
+            if len(set(run.split())) >= 15:
+                runs.append((i, run))
+            k = j + 1
+        seen.update(grams)
+    return runs
+
+
+def test_line_dedup_recall_of_short_passages(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    out = {r.doc_id: r.text for r in line_dedup.deduplicated(df).collect()}
+    runs = [(i, run) for i, run in repeated_runs(rows) if len(run.split()) < 80]
+    left = [sum(len(x) for x in re.split(line_dedup.LINE_END, run) if len(x.strip()) >= 6 and x.strip() in out[i]) / len(run) for i, run in runs]
+    assert len(runs) > 80 and sum(x < 0.97 for x in left) >= 0.96 * len(runs) and sum(x <= 0.5 for x in left) >= 0.9 * len(runs)
+
+
+def test_line_dedup_long_lines_and_short_passages(spark):
+    long = "a single line without any mark that goes on for far more than sixty four characters"
+    pair = "first of two clauses stands here, the second of the two follows it"
+    rows = [(1, f"Alpha one.\n{long}\nBeta two.\n{pair}.\nGamma"), (2, f"Delta three.\n{long}\nEpsilon, {pair}.\nZeta"), (3, long), (4, f"{pair}.")]
+    got = {r.doc_id: (r.text, r.lines_removed) for r in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("Delta three.\nEpsilon, Zeta", 3), 3: ("", 1), 4: ("", 2)}
+
+
 def test_decontamination_finds_edited_passages(spark, odd, none):
     rng = np.random.default_rng(2)
     words = lambda n: ["".join(rng.choice(list("abcdefghij"), rng.integers(3, 9))) for _ in range(n)]
