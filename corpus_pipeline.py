@@ -22,15 +22,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated line chunks cut out; n_chars follows the text.
+    """Repeated lines cut out; n_chars follows the text.
 
-    A document that loses more than three quarters of its characters to earlier ones is a copy
-    of which only scraps stay, and goes; it counts by the text's own length, not by n_chars.
+    A document of which nothing but blanks stays goes; any other keeps what is its own.
     """
-    sized = docs.withColumn("_before", F.length("text"))
-    out = line_dedup.deduplicated(sized)
-    scraps = (F.col("lines_removed") > 0) & (4 * F.length(F.trim("text")) < F.col("_before"))
-    out = out.filter(~F.coalesce(scraps, F.lit(False)))
+    out = line_dedup.deduplicated(docs)
+    nothing = (F.col("lines_removed") > 0) & (F.trim(F.col("text"), F.lit(" \t\r\n")) == "")
+    out = out.filter(~F.coalesce(nothing, F.lit(False)))
     size = F.when(F.col("lines_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return out.withColumn("n_chars", size).select(*docs.columns)
 

@@ -295,3 +295,15 @@ def test_pipeline_stages(spark):
         first[t].append(i)
     for same in first.values():
         assert len(set(same) & set(out.doc_id)) <= 1
+
+
+def test_pipeline_line_dedup_keeps_own_text(spark):
+    import corpus_pipeline as cp
+
+    shared = "\n".join(f"Shared line {k} of a passage that stands in more than one of these documents." for k in range(12)) + "\n"
+    twice = "\n".join(f"Line {k % 4} that this document alone repeats, again and again and again." for k in range(40))
+    rows = [(1, shared), (2, shared + "A few words of its own."), (3, shared), (4, twice)]
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in cp.dedup_lines(spark, df, "").collect()}
+    assert set(got) == {1, 2, 4} and got[1][0] == shared and got[2] == ("A few words of its own.", 23)
+    assert got[4][0].startswith("Line 0 that") and 4 * got[4][1] < len(twice)
