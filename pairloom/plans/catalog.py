@@ -322,6 +322,8 @@ query("scenario_table", rounded("scenm", "scenario", "total_return max_drawdown
 query("scenario_text", statement("SELECT scenario, printf('%.1f%%', round(total_return * 100, 9)) AS total_return, printf('%.1f%%', round(max_drawdown * 100, 9)) AS max_drawdown, printf('%.2f', round(sharpe, 9)) AS sharpe FROM scenm"))(
     lambda s, d: X.formatted(X.summary(X.run_all(daily(s, d)).filter(~F.col("scenario").isin("corr_breakdown", "fat_tail"))))
 )
+query("scenario_table_all")(lambda s, d: X.summary(X.run_all(daily(s, d))))
+query("scenario_text_all")(lambda s, d: X.formatted(X.summary(X.run_all(daily(s, d)))))
 
 # Walk-forward, backtest, dashboard tables
 query("walk_forward", statement("SELECT ticker, date, close FROM prices WHERE date > DATE '1996-01-01'"))(lambda s, d: src.index_panel(s, d).filter(F.col("date") > F.lit("1996-01-01").cast("date")).select("ticker", "date", "close"))

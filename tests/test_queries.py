@@ -78,3 +78,13 @@ def test_bootstrap_needs_history(spark):
     short = spark.createDataFrame([], "date date, net_return double")
     with pytest.raises(ValueError):
         simulation.bootstrap(short, 10, 10)
+
+
+def test_scenario_tables_have_all_seven_rows(spark):
+    q = __spark_entry__.queries()
+    every = {r.scenario: r for r in q["scenario_table_all"](spark, SF).collect()}
+    assert set(every) == {"baseline", "vol_shock_3x", "vol_shock_5x", "corr_breakdown", "liquidity_crisis", "fat_tail", "bear_regime"}
+    assert every["corr_breakdown"].total_return < every["baseline"].total_return and every["fat_tail"] != every["baseline"]
+    text = {r.scenario: r for r in q["scenario_text_all"](spark, SF).collect()}
+    assert {k: f"{v.total_return * 100:.1f}%" for k, v in every.items()} == {k: v.total_return for k, v in text.items()}
+    assert {r.scenario: r.sharpe for r in q["scenario_table"](spark, SF).collect()} == {k: pytest.approx(every[k].sharpe, abs=1e-5) for k in every if k not in ("corr_breakdown", "fat_tail")}
