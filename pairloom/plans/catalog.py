@@ -305,8 +305,21 @@ query("stat_score", statement(f"SELECT {K}, round(stat_score, 9) AS stat_score F
 query("rank_pairs", statement(f"SELECT {K}, round(stat_score, 9) AS stat_score, 0.5 AS ml_score, round(0.5 * stat_score + 0.25, 9) AS composite FROM ({_STAT}) ORDER BY round(0.5 * stat_score + 0.25, 9) DESC, ticker_a, ticker_b LIMIT 10").replace("0.5 AS ml_score", "CAST(0.5 AS DOUBLE) AS ml_score"), 9)(lambda s, d: R.rank(rank_input(s, d), top=10).select(*PAIR, "stat_score", "ml_score", "composite"))
 
 # Simulation
-query("mc_gbm")(lambda s, d: X.gbm(daily(s, d), 500, 63).filter("step = 63"))
-query("mc_bootstrap")(lambda s, d: X.bootstrap(daily(s, d), 500, 63).filter("step = 63"))
+SIM = CFG.simulation
+
+
+def simulated(s, d, method):
+    """All paths and steps of the default simulation."""
+    more = {"block": SIM.block} if method == "bootstrap" else {}
+    return X.simulate(daily(s, d), method, paths=SIM.paths, horizon=SIM.horizon, start=CFG.trade.capital, seed=SIM.seed, **more)
+
+
+for _method in ("gbm", "bootstrap"):
+    query(f"mc_{_method}")(lambda s, d, m=_method: simulated(s, d, m))
+    query(f"mc_{_method}_terminal")(lambda s, d, m=_method: X.terminal(simulated(s, d, m), SIM.horizon, CFG.trade.capital, SIM.confidence))
+    query(f"mc_{_method}_drawdown")(lambda s, d, m=_method: X.path_drawdown(simulated(s, d, m)))
+    query(f"mc_{_method}_bands")(lambda s, d, m=_method: X.bands(simulated(s, d, m)))
+# The same operators over paths that SQL can make too
 query("mc_terminal", statement("""SELECT round(avg(value), 3) AS mean_terminal, round(median(value), 3) AS median_terminal, round(stddev_pop(value), 3) AS std_terminal, round(avg(r), 3) AS mean_return, round(median(r), 3) AS median_return, round(avg(CAST(r > 0 AS DOUBLE)), 3) AS prob_profit,
   round(avg(CAST(r < -0.1 AS DOUBLE)), 3) AS prob_loss_10, round(avg(CAST(r < -0.2 AS DOUBLE)), 3) AS prob_loss_20, round(avg(CAST(r < -0.5 AS DOUBLE)), 3) AS prob_loss_50, round(max(a), 3) AS var_95, round(avg(r) FILTER (r <= a), 3) AS cvar_95, round(max(c), 3) AS pct_5_terminal, round(max(d), 3) AS pct_95_terminal,
   round(max(b), 3) AS var_99, round(avg(r) FILTER (r <= b), 3) AS cvar_99, round(max(e), 3) AS pct_1_terminal, round(max(f), 3) AS pct_99_terminal

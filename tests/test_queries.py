@@ -88,3 +88,15 @@ def test_scenario_tables_have_all_seven_rows(spark):
     text = {r.scenario: r for r in q["scenario_text_all"](spark, SF).collect()}
     assert {k: f"{v.total_return * 100:.1f}%" for k, v in every.items()} == {k: v.total_return for k, v in text.items()}
     assert {r.scenario: r.sharpe for r in q["scenario_table"](spark, SF).collect()} == {k: pytest.approx(every[k].sharpe, abs=1e-5) for k in every if k not in ("corr_breakdown", "fat_tail")}
+
+
+@pytest.mark.parametrize("method", ["gbm", "bootstrap"])
+def test_simulations_have_all_paths_and_steps(spark, method):
+    from pyspark.sql import functions as F
+
+    q = __spark_entry__.queries()
+    r = q[f"mc_{method}"](spark, SF).agg(F.count("*").alias("n"), F.countDistinct("path_id").alias("paths"), F.max("step").alias("last"), F.avg(F.when(F.col("step") == 252, F.col("value"))).alias("mean")).first()
+    assert (r.n, r.paths, r["last"]) == (10_000 * 253, 10_000, 252)
+    assert q[f"mc_{method}_terminal"](spark, SF).first().mean_terminal == pytest.approx(r["mean"], rel=1e-6)
+    assert q[f"mc_{method}_bands"](spark, SF).count() == 253
+    assert -1 <= q[f"mc_{method}_drawdown"](spark, SF).first().worst_dd < 0
