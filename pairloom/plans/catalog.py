@@ -275,14 +275,15 @@ query("feature_table")(table)
 query("feature_matrix")(lambda s, d: R.feature_matrix(table(s, d)))
 
 
-def learned(s, d, kind="gbt"):
+def learned(s, d):
     m = R.feature_matrix(table(s, d)).cache()
-    return R.pipeline(kind=kind, trees=10).fit(m), m
+    return R.pipeline().fit(m), m
 
 
 query("ml_scores")(lambda s, d: R.score(learned(s, d)[0], table(s, d), R.FEATURES))
-query("ml_cv")(lambda s, d: R.cross_validate(R.feature_matrix(table(s, d)), R.FEATURES, 3, trees=5))
-query("ml_importance")(lambda s, d: R.importance(learned(s, d, "forest")[0], R.FEATURES, s))
+query("ml_search_scores")(lambda s, d: R.score(R.search(R.feature_matrix(table(s, d)).cache(), R.FEATURES), table(s, d), R.FEATURES))
+query("ml_cv")(lambda s, d: R.cross_validate(R.feature_matrix(table(s, d)), R.FEATURES))
+query("ml_importance")(lambda s, d: R.importance(learned(s, d)[0], R.FEATURES, s))
 query("lstm_sequences", statement(f"SELECT {K}, date, CAST(n AS INTEGER) AS steps, round(total, 5) + 0.0 AS total, label FROM (SELECT {K}, date, count(*) OVER w AS n, sum(CAST(CAST(zscore AS FLOAT) AS DOUBLE)) OVER w AS total, CAST(spread > 0 AS INTEGER) AS label FROM zed WHERE zscore IS NOT NULL WINDOW w AS (PARTITION BY {K} ORDER BY date ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)) WHERE n = 10"), 5)(
     lambda s, d: R.sequences(zscored(s, d).filter("zscore IS NOT NULL").withColumn("label", (F.col("spread") > 0).cast("int")).withColumn("zr", F.col("zscore")), ["zscore"], 10).select(
         *PAIR, "date", F.size("sequence").alias("steps"), F.aggregate("sequence", F.lit(0.0), lambda t, x: t + x[0].cast("double")).alias("total"), "label")

@@ -100,3 +100,23 @@ def test_simulations_have_all_paths_and_steps(spark, method):
     assert q[f"mc_{method}_terminal"](spark, SF).first().mean_terminal == pytest.approx(r["mean"], rel=1e-6)
     assert q[f"mc_{method}_bands"](spark, SF).count() == 253
     assert -1 <= q[f"mc_{method}_drawdown"](spark, SF).first().worst_dd < 0
+
+
+def test_ml_queries_learn_with_the_defaults(spark, monkeypatch):
+    from pairloom.plans import catalog
+
+    given = []
+
+    class Model:
+        def fit(self, m):
+            return "model"
+
+    monkeypatch.setattr(catalog, "table", lambda s, d: spark.range(1))
+    monkeypatch.setattr(catalog.R, "feature_matrix", lambda t: t)
+    monkeypatch.setattr(catalog.R, "pipeline", lambda *a, **k: given.append(("pipeline", a, k)) or Model())
+    for name in ("score", "importance", "cross_validate", "search"):
+        monkeypatch.setattr(catalog.R, name, lambda *a, n=name, **k: given.append((n, a[0] if isinstance(a[0], str) else None, a[2:] if n == "cross_validate" else (), k)) or ("best" if n == "search" else spark.range(1)))
+    for name in ("ml_scores", "ml_importance", "ml_cv", "ml_search_scores"):
+        catalog.QUERIES[name](spark, SF)
+    learn = ("pipeline", (), {})
+    assert given == [learn, ("score", "model", (), {}), learn, ("importance", "model", (), {}), ("cross_validate", None, (), {}), ("search", None, (), {}), ("score", "best", (), {})]
