@@ -60,7 +60,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Trained scores, MinHash and a tokenizer are beyond SQL; the stages are tested against brute force.
+#: Trained scores, MinHash and a tokenizer are beyond SQL; of the stages, only near-dedup is tested against brute force.
 ORACLE_SQL = None
 
 

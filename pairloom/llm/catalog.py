@@ -70,5 +70,5 @@ QUERIES = {
     f.__name__: f
     for f in (op1_toxicity, op2_minhash, op3_quality, op4_orc_tokens, op5_lz_fingerprint, op6_html, op7_packing, op8_line_dedup, op9_decontaminate, op10_language)
 }
-#: No query of this subpackage is plain SQL; each is tested against a brute-force version.
+#: No query of this subpackage is plain SQL; tests use brute force (op2), direct computation, round trips, planted passages or held-out rows.
 ORACLES: dict[str, str] = {}
