@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import sys
 import tempfile
 import types
@@ -39,37 +40,65 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share. Only a single-machine session may go without one and gets its own."""
     sc = spark.sparkContext
     root = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines of {sc.master} share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
         root = sc.getCheckpointDir()
     return root
 
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends here, and a lost executor costs nothing.
 
-    The table stays until the driver's Python exits, as the returned frame is read lazily.
+    Once the table stands, the shuffle files that led to it go. The table itself stays until
+    ``discard`` or until the driver's Python exits, as the returned frame is read lazily.
     """
     spark = df.sparkSession
+    path = temporary(spark, name)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._pairloom_path = path
+    return out
+
+
+def temporary(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver's Python exits."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    return path
+
+
+def discard(*frames: DataFrame) -> None:
+    """Removes tables that ``written`` returned; nothing may read them any more."""
+    for frame in frames:
+        _remove(frame._pairloom_path)
+
+
+def _remove(path: str) -> None:
+    spark = _written.pop(path, None)
+    if spark is not None:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 @atexit.register
 def _remove_written() -> None:
-    for spark, path in _written:
+    for path in list(_written):
         try:
-            jvm, sc = spark._jvm, spark.sparkContext
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+            _remove(path)
         except Exception:  # noqa: BLE001  the session may have ended already
             return
 

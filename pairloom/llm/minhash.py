@@ -2,14 +2,16 @@
 
 Every document's distinct five-word shingles are hashed to 64 bits; 128 MinHash samples give
 32 bands of four. A second MinHash, of one sample in each of 1024 bins of the hash range, is
-folded into a 2048-bit parity bitmap, the odd sketch. Documents with equal sets are joined by
+folded into a 2048-bit parity bitmap, the odd sketch; a second bitmap folds all hashes, which
+is nearly exact for sets that are small beside it. Documents with equal sets are joined by
 their sets' digest first, so only one representative of each set goes on. Within a bucket of a
 band each member is tested against one hub, the member whose buckets are the fullest, never
 all pairs; the population count of two sketches' XOR estimates the symmetric difference and
 drops hopeless candidates, the rest are confirmed on full shingle sets. Members of one
-bucket that are still in different components afterwards are then tested against each other,
-so no candidate of any band is lost: a link at similarity 0.75 shares no band with
-probability (1 - 0.75^4)^32 < 1e-5.
+bucket that are still in different components afterwards meet too, but only those that the
+count of shingles which others have as well leaves a partner (see ``across``), so no candidate
+of any band is lost: a link at similarity 0.75 shares no band with probability
+(1 - 0.75^4)^32 < 1e-5.
 
 Edge cases: a text without words has no shingles and is linked with nothing; with fewer than
 five words the whole sequence is one shingle; rows that share a doc_id are one node; a null
@@ -18,6 +20,7 @@ doc_id is linked with nothing and kept; an empty table gives no rows; extra colu
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -27,11 +30,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import mixed, word_memo, written
+from pairloom.llm.common import discard, mixed, word_memo, written
 
 WORDS, SAMPLES, BANDS = 5, 128, 32
 BINS, BITS = 1024, 2048
-LEAST = 0.75
+LEAST, STEP = 0.75, 1.05
 _P = np.uint64(0x100000001B3)
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 1 << 32, SAMPLES, dtype=np.uint32) | np.uint32(1)
@@ -70,17 +73,28 @@ def bands(m: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def _parity(hashes: np.ndarray) -> np.ndarray:
+    """BITS bits in 64-bit words; a bit holds the parity of the hashes that fall on it."""
+    at = (mixed(hashes + np.uint64(1)) & np.uint64(BITS - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def odd_sketch(s: np.ndarray) -> np.ndarray:
-    """BITS / 64 words: bit b holds the parity of the bins' smallest hashes that fall on b. ``s`` is sorted, so these come first in their bins."""
+    """Two parity bitmaps: of the bins' smallest hashes, and of the whole set (a sample of all its hashes). ``s`` is sorted, so the smallest come first in their bins."""
     bin_ = (s >> np.uint64(64 - 10)).astype(np.int64)
     first = np.flatnonzero(np.diff(bin_, prepend=-1))
-    at = (mixed(s[first] + np.uint64(1)) & np.uint64(BITS - 1)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
+    return np.concatenate([_parity(s[first]), _parity(s)])
 
 
-def xor_count(a: str, b: str) -> Column:
-    """Population count of two sketch columns' XOR."""
-    return reduce(lambda x, y: x + y, (F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(BITS // 64)))
+def xor_count(a: str, b: str, part: int = 0) -> Column:
+    """Population count of the XOR of two sketch columns: of the bins (part 0) or of the whole sets (part 1)."""
+    words = BITS // 64
+    return reduce(lambda x, y: x + y, (F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(part * words, (part + 1) * words)))
+
+
+def may_link(a: str, b: str, na: str, nb: str) -> Column:
+    """False for pairs that sketches rule out. Folding only lowers a whole set's XOR count, and a link differs in a seventh of both sizes' sum at most."""
+    return (7 * xor_count(a, b, 1) <= F.col(na) + F.col(nb)) & (xor_count(a, b) <= most_xor(na, nb))
 
 
 def most_xor(na: str, nb: str) -> Column:
@@ -144,7 +158,7 @@ def confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, screened:
         pairs = (
             pairs.join(sketches.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
             .join(sketches.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-            .filter(xor_count("sa", "sb") <= most_xor("na", "nb")).select("a", "b")
+            .filter(may_link("sa", "sb", "na", "nb")).select("a", "b")
         )
     full = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("xa")), "a").join(
         sets.select(F.col("id").alias("b"), F.col("shingles").alias("xb")), "b"
@@ -162,14 +176,19 @@ def components(edges: DataFrame) -> DataFrame:
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
         large = written(large, "large-star")
+        discard(now)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         now = written(small.distinct(), "small-star")
+        discard(large)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("b", "a"))).first()
         if state == seen:
             break
         state = seen
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    roots = now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    out = written(roots, "components")
+    discard(now)
+    return out
 
 
 def _rooted(ids: DataFrame, column: str, roots: DataFrame, out: str) -> DataFrame:
@@ -178,12 +197,42 @@ def _rooted(ids: DataFrame, column: str, roots: DataFrame, out: str) -> DataFram
 
 
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """``roots`` after the links (a, b) between nodes."""
+    """``roots``, a stored table, after the links (a, b) between nodes."""
     ends = _rooted(_rooted(links, "a", roots, "ra"), "b", roots, "rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     merged = components(ends)
     moved = _rooted(roots, "root", merged, "to").select("node", F.col("to").alias("root"))
     new = merged.join(roots, "node", "left_anti")
-    return written(moved.unionByName(new), "roots")
+    out = written(moved.unionByName(new), "roots")
+    discard(merged, roots)
+    return out
+
+
+def _class(n: Column) -> Column:
+    """Sizes within a step of ``STEP`` share a class."""
+    return F.floor(F.log(n.cast("double")) / math.log(STEP) + 1e-9).cast("int")
+
+
+def across(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of members of one bucket in different components; ``placed`` has (bucket, id, root, n, sketch).
+
+    A shingle that one member alone has can be in no intersection. With v shingles that others
+    have too, a member of size n links with one of size m only if 7 v >= 3 (n + m), as the
+    intersection has 3/7 of both sizes' sum at least. A member meets only the size classes
+    that this leaves; whoever differs by himself from all others by more than a link allows
+    meets nobody, however large the bucket is.
+    """
+    members = placed.select("id", "n").distinct()
+    shingles = sets.join(members.select("id"), "id", "left_semi").select("id", F.explode("shingles").alias("s"))
+    alone = shingles.groupBy("s").agg(F.count("*").alias("times"), F.min("id").alias("id")).filter("times = 1").groupBy("id").agg(F.count("*").alias("alone"))
+    most = F.floor((7 * (F.col("n") - F.coalesce("alone", F.lit(0))) - 3 * F.col("n")) / F.lit(3)).alias("most")  # the largest partner
+    rows = placed.join(members.join(alone, "id", "left").select("id", most), "id")
+    low, high = F.ceil(LEAST * F.col("n")), F.least("n", "most")
+    larger = rows.filter(low <= high).select(
+        "bucket", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("sketch").alias("sa"), F.explode(F.sequence(_class(low), _class(high))).alias("size")
+    )
+    smaller = rows.filter("most >= n").select("bucket", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("sketch").alias("sb"), _class(F.col("n")).alias("size"))
+    fits = (F.col("ra") != F.col("rb")) & (F.struct("nb", "b") < F.struct("na", "a")) & (F.col("nb") <= F.col("ma")) & (F.col("na") <= F.col("mb"))
+    return larger.join(smaller, ["bucket", "size"]).filter(fits & may_link("sa", "sb", "na", "nb")).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -198,13 +247,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     weight = shared.groupBy("id").agg(F.sum("size").alias("weight"))
     hubs = shared.join(weight, "id").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("i"))).alias("hub"))
     members = written(shared.join(hubs, "bucket").select("bucket", "id", (-F.col("hub.i")).alias("hub"), F.col("hub.weight").alias("weight")), "members")
+    discard(shared)
     wanted = members.select("id").distinct()
     texts = docs.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select("doc_id", "text")
     sets = written(shingle_table(texts), "shingles")
 
     # First each document's heaviest hub; most components are whole after that.
     spokes = members.filter("id != hub").groupBy("id").agg(F.max(F.struct("weight", (-F.col("hub")).alias("i"))).alias("h")).select(F.col("id").alias("a"), (-F.col("h.i")).alias("b"))
-    roots = written(components(confirmed(spokes, sketches, sets)), "roots")
+    roots = components(confirmed(spokes, sketches, sets))
     # Then every other hub that is still in another component.
     spokes = members.filter("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     apart = _rooted(_rooted(spokes, "a", roots, "ra"), "b", roots, "rb").filter("ra != rb").select("a", "b")
@@ -216,12 +266,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mixed_up = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("bucket")
     placed = written(placed.join(mixed_up, "bucket", "left_semi").join(sketches, "id"), "placed")
     if not placed.isEmpty():
-        left = placed.select("bucket", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-        right = placed.select("bucket", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-        pairs = left.join(right, "bucket").filter((F.col("ra") < F.col("rb")) & (xor_count("sa", "sb") <= most_xor("na", "nb"))).select("a", "b").distinct()
-        links = written(confirmed(pairs, sketches, sets, screened=True), "links")
-        if not links.isEmpty():
-            roots = _joined(roots, links)
+        last = written(confirmed(across(placed, sets), sketches, sets, screened=True), "links")
+        if not last.isEmpty():
+            roots = _joined(roots, last)
+        discard(last)
+    discard(members, sets, links, placed)
 
     ids = made.select("doc_id", "n_shingles", "digest")
     found = ids.join(same.select("digest", F.col("id").alias("first")), "digest", "left")
