@@ -9,6 +9,8 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from pairloom.llm import catalog, decontaminate, encode, html_extract, langid, line_dedup, lz_fingerprint, minhash, packing, quality, tokens_orc, toxicity
 
@@ -159,6 +161,67 @@ def test_fingerprints_equal_direct_computation(docs, odd, none):
     assert lz_fingerprint.fingerprints(odd, 3).count() == 11 and lz_fingerprint.fingerprints(none, 3).count() == 0
 
 
+def brute_lines(text):
+    """The lines of a text with what ends them, and without."""
+    whole = [x for x in re.split(line_dedup.LINE_END, text) if x]
+    return whole, [x[:-1] if x[-1] in " \n" and (x[-1] == "\n" or x[-2:-1] in list(".,;:!?|")) else x for x in whole]
+
+
+def brute_chunks(bare):
+    """(first line, lines) of a text's chunks, straight from the definition."""
+    h = [xxhash.xxh64_intdigest(x.encode(), seed=42) for x in bare] + [0]
+    n = [len(x) for x in bare]
+    size, found = len(bare), set()
+    cut = [((((h[i] << 1) | (h[i] >> 63)) ^ h[i + 1]) & 3) == 0 for i in range(size)]
+    for i in range(size):
+        m = next((m for m in range(2, 65) if i + m <= size and sum(n[i : i + m]) >= 64), None)
+        if m and (cut[i] or n[i] >= 24) and not (m == 2 and n[i] >= 64 and n[i + 1] >= 64):
+            found.add((i, m))
+        if n[i] >= 64:
+            found.add((i, 1))
+        if i == 0 or cut[i]:
+            j = next(j for j in range(i + 1, size + 1) if j == size or cut[j])
+            if 2 <= j - i <= 64 and 40 <= sum(n[i:j]) < 64:
+                found.add((i, j - i))
+    if 2 <= size <= 64 and 40 <= sum(n) < 64:
+        found.add((0, size))
+    return found
+
+
+def brute_dedup(rows):
+    """Texts and lines removed by (id, text): chunks compare by their bytes alone."""
+    rows = [(i, t) for i, t in rows if t]
+    spots = defaultdict(set)
+    for i, t in rows:
+        whole, bare = brute_lines(t)
+        key = (-(1 << 63) if i is None else i, zlib.crc32(t.encode()))  # rows that share an id have equal texts here
+        for s, m in brute_chunks(bare) if len(t) >= 40 else ():
+            spots["\n".join(bare[s : s + m])].add((key, s, m, i, t))
+    gone = defaultdict(set)
+    for places in spots.values():
+        for _, s, m, i, t in sorted(places, key=lambda x: x[:3])[1:]:
+            gone[i, t] |= set(range(s, s + m))
+    return {(i, t): ("".join(x for k, x in enumerate(brute_lines(t)[0]) if k not in gone[i, t]), len(gone[i, t])) for i, t in rows}
+
+
+def test_line_dedup_equals_brute_force(spark, docs, odd):
+    extra = [(k, f"Ab. {'X! ' * (k % 7 + 9)}Some words stand here and there, {k}. Ten more of them follow.\n\n\nYes, no. Short ones; all of them.") for k in range(40)]
+    extra += [(100 + k, "One two three, four five six. Seven, eight and nine.") for k in range(3)]
+    for df in (docs, odd, spark.createDataFrame(extra, "doc_id long, text string")):
+        rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+        made = {}
+        for r in line_dedup.chunks(df).collect():
+            made.setdefault(r.k1, set()).add((r.s, r.m))
+        for i, t in rows:
+            if t and len(t) >= 40 and [x[0] for x in rows].count(i) == 1:
+                assert made.get(i if i is not None else -(1 << 63), set()) == brute_chunks(brute_lines(t)[1])
+        want = brute_dedup(rows)
+        out = line_dedup.deduplicated(df.withColumn("was", F.col("text")).select("doc_id", "text", "was")).collect()
+        assert len(out) == len(rows)
+        for r in out:
+            assert (r.text, r.lines_removed) == want.get((r.doc_id, r.was), (r.was, 0))
+
+
 def test_line_dedup_keeps_the_first_copy(spark, odd, none):
     lines = [f"Line number {i} of some passage, long enough to count as text." for i in range(12)]
     own = lambda k: [f"Own words {k} and {j} that nobody else has, ever {k * j}." for j in range(6)]
