@@ -2,16 +2,21 @@
 
 Both vocabularies split a text into pieces before any merge. For texts of ASCII and Latin-1
 letters those pieces follow from a plain pattern, so each distinct piece goes through the
-tokenizer once per worker and a text is the concatenation of its pieces' ids. Any other text
-goes through the tokenizer whole, so the result never depends on the short cut.
+tokenizer once per worker and a text is the concatenation of its pieces' ids. Any other text,
+one that holds an added token such as an end mark, and every text of a vocabulary whose file
+splits texts otherwise go through the tokenizer whole, so the result never depends on the
+short cut: it is that of ``encode(text, add_special_tokens=False)``.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from struct import pack
 
+from pairloom.llm.common import process_cache
+
 #: Pieces kept by one Python worker.
 KEPT_PIECES = 800_000
 
@@ -23,6 +28,23 @@ _PIECES = {
     "lowered": re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[0-9]|[^\\s0-9{_LETTERS}]+"),
 }
 
+#: How the two vocabulary files normalise and split texts, as their patterns above assume.
+_SPLITS = {
+    "spaced": (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}),
+    "lowered": (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ]},
+    ),
+}
+
+
+def encoder(path: str, kind: str) -> "Encoder":
+    """This worker's encoder for a file."""
+    return process_cache(f"encoder {kind} {path}", lambda: Encoder(path, kind))
+
 
 class Encoder:
     """Ids of a text as little-endian unsigned 32-bit integers. ``kind``: "spaced" keeps white space, "lowered" drops it and case."""
@@ -32,8 +54,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.pattern, self.lowered, self.kept = _PIECES[kind], kind == "lowered", {}
+        rules = json.loads(self.tokenizer.to_str())
+        plain = (rules["normalizer"], rules["pre_tokenizer"]) == _SPLITS[kind]
+        self.pattern, self.lowered, self.kept = _PIECES[kind] if plain else None, kind == "lowered", {}
+        added = [t["content"] for t in rules["added_tokens"]]
+        self.odd = re.compile("|".join([_OTHER.pattern, *map(re.escape, added)]), re.I if any(t["normalized"] for t in rules["added_tokens"]) else 0)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -42,7 +67,7 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
         for s in range(0, len(texts), 256):
-            plain = [i for i in range(s, min(s + 256, len(texts))) if not _OTHER.search(texts[i])]
+            plain = [i for i in range(s, min(s + 256, len(texts))) if self.pattern and not self.odd.search(texts[i])]
             odd = sorted({*range(s, min(s + 256, len(texts)))} - {*plain})
             for i, ids in zip(odd, self.whole([texts[i] for i in odd])):
                 out[i] = ids

@@ -24,8 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import process_cache, written
-from pairloom.llm.encode import Encoder
+from pairloom.llm import encode
+from pairloom.llm.common import written
+
+#: Parts that pieces of one length are dealt to for ranking: of a rest's length, and of the full length, the bulk of all pieces.
+SALTS, FULL_SALTS = 64, 1 << 14
 
 
 @dataclass(frozen=True)
@@ -83,10 +86,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, limit: int, kind:
     """One row per piece: (doc_id, start, length, ids_crc32, doc_tokens, salt); salt spreads equal lengths."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = process_cache(f"encoder_{kind}", lambda: Encoder(tokenizer_path, kind))
+        found = encode.encoder(tokenizer_path, kind)
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
-            ids = [x + end for x in encoder([t or "" for t in batch.column(1).to_pylist()])]
+            ids = [x + end for x in found([t or "" for t in batch.column(1).to_pylist()])]
             at, start, length, crc, total = [], [], [], [], []
             for i, x in enumerate(ids):
                 n = len(x) // 4
@@ -100,7 +103,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, limit: int, kind:
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
-    return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(256)))
+    salts = F.when(F.col("length") == limit, F.lit(FULL_SALTS)).otherwise(F.lit(SALTS))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), salts))
 
 
 def pack(cut: DataFrame, limit: int) -> DataFrame:
@@ -108,10 +112,10 @@ def pack(cut: DataFrame, limit: int) -> DataFrame:
     counts = cut.groupBy("length", "salt").agg(F.count("*").alias("n"))
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `limit` rows
     slots = slots_of(shortest_pack_first(histogram, limit))
-    across = Window.partitionBy("length").orderBy("salt")  # at most 256 rows a length
+    across = Window.partitionBy("length").orderBy("salt")  # at most FULL_SALTS rows a length
     before = counts.select("length", "salt", (F.sum("n").over(across) - F.col("n")).alias("before"))
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")
-    ranked = cut.withColumn("rank", F.row_number().over(within) - 1).join(F.broadcast(before), ["length", "salt"])  # limit x 256 rows at most
+    ranked = cut.withColumn("rank", F.row_number().over(within) - 1).join(F.broadcast(before), ["length", "salt"])  # limit x SALTS + FULL_SALTS rows at most
     ranked = ranked.withColumn("rank", F.col("rank") + F.col("before"))
     shared = cut.sparkSession.sparkContext.broadcast(slots)
 

@@ -12,7 +12,6 @@ are not written.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -21,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import process_cache, shared_dir
-from pairloom.llm.encode import Encoder
+from pairloom.llm import encode
+from pairloom.llm.common import temporary
 
 SCHEMA = "doc_id long, n_tokens int, ids array<int>"
 ORC_OPTIONS = {
@@ -34,25 +33,32 @@ ORC_OPTIONS = {
 def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, kind: str = "lowered") -> DataFrame:
     """(doc_id, n_tokens, ids) of each document, the end id included; keeps the rows' order."""
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = process_cache(f"encoder_{kind}", lambda: Encoder(tokenizer_path, kind))
+    def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = encode.encoder(tokenizer_path, kind)
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             for s in range(0, batch.num_rows, 512):
                 part = batch.slice(s, 512)
-                ids = [x + end for x in encoder([t or "" for t in part.column(1).to_pylist()])]
+                ids = [x + end for x in found([t or "" for t in part.column(1).to_pylist()])]
                 n = np.fromiter((len(x) // 4 for x in ids), np.int32, len(ids))
                 offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), lists], names=["doc_id", "n_tokens", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(ids_of, SCHEMA)
+
+
+def parts_of(docs: DataFrame, megabytes: int = 128) -> int:
+    """Files for ``docs``: as many as shuffles have, or more if the plan's size estimate asks for it."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size < 1 << 60  # a plan without statistics claims the largest number there is
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // (megabytes << 20) if known else 0)
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, kind: str = "lowered") -> None:
-    """Writes ``docs`` in ascending id order; the parts are as many as shuffles have."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    """Writes ``docs`` in ascending id order."""
+    rows = docs.select("doc_id", "text")
+    ordered = rows.repartitionByRange(parts_of(rows), "doc_id").sortWithinPartitions("doc_id")
     encoded(ordered, tokenizer_path, end_id, kind).write.options(**ORC_OPTIONS).orc(path)
 
 
@@ -62,7 +68,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def positions(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) from the files."""
+    """(doc_id, start, n_tokens, ids_crc32) from the files. Block totals read the stored counts alone; ids are read once."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,11 +78,11 @@ def positions(spark: SparkSession, path: str) -> DataFrame:
             n = np.diff(at).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(n), pa.array(crc)], names=["doc_id", "file", "block", "n_tokens", "ids_crc32"])
 
-    stored = read(spark, path).select("doc_id", "ids", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    rows = stored.mapInArrow(digest, "doc_id long, file string, block long, n_tokens long, ids_crc32 long")
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    rows = read(spark, path).select("doc_id", "ids", *place).mapInArrow(digest, "doc_id long, file string, block long, n_tokens long, ids_crc32 long")
     # One row per file block: as many as read tasks, which is what the broadcast holds.
-    blocks = rows.groupBy("file", "block").agg(F.sum("n_tokens").alias("total"), F.min("doc_id").alias("low"), F.count("*").alias("n"))
-    order = Window.orderBy(F.col("low").asc_nulls_first(), "file", "block").rowsBetween(Window.unboundedPreceding, 0)
+    blocks = read(spark, path).select("doc_id", "n_tokens", *place).groupBy("file", "block").agg(F.sum("n_tokens").alias("total"), F.min("doc_id").alias("low"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))
+    order = Window.orderBy((F.col("nulls") == 0).asc(), F.col("low").asc_nulls_first(), "file", "block").rowsBetween(Window.unboundedPreceding, 0)
     before = blocks.select("file", "block", (F.sum("total").over(order) - F.col("total")).alias("before"))
     inside = Window.partitionBy("file", "block").orderBy(F.col("doc_id").asc_nulls_first(), "ids_crc32", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     return rows.join(F.broadcast(before), ["file", "block"]).select(
@@ -85,4 +91,5 @@ def positions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def new_path(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}.orc"
+    """A folder for token files beside the shared ones; it goes when the driver's Python exits."""
+    return temporary(spark, "tokens.orc")

@@ -135,6 +135,77 @@ def test_pieces_encode_like_whole_texts(name, kind):
     assert e(texts) == e.whole(texts)
 
 
+@pytest.mark.parametrize("name, kind", [("word_bpe_49k.json", "lowered"), ("byte_bpe_50k.json", "spaced")])
+def test_ids_are_those_of_the_plain_call(docs, name, kind):
+    from tokenizers import Tokenizer
+
+    plain, e = Tokenizer.from_file(public_tokenizers.path(name)), encode.Encoder(public_tokenizers.path(name), kind)
+    texts = [r.text for r in docs.select("text").limit(60).collect()] + ["a <|endoftext|> b", "<|startoftext|>x<|endoftext|>", "<|ENDOFTEXT|>", "e\u0301 x", "I\u0307"]
+    assert e(texts) == [np.asarray(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_other_vocabularies_are_encoded_whole(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    t = Tokenizer(models.WordLevel({"a": 0, "b": 1, "?": 2}, unk_token="?"))
+    t.pre_tokenizer = pre_tokenizers.Whitespace()
+    t.save(str(tmp_path / "t.json"))
+    assert encode.encoder(str(tmp_path / "t.json"), "spaced")(["a  b a"]) == [np.asarray([0, 1, 0], "<u4").tobytes()]
+
+
+def test_token_files_have_indexes_and_are_pruned(spark, docs):
+    from pyarrow import orc
+
+    out = tokens_orc.new_path(spark)
+    tokens_orc.write(docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 1_000_000)), out, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    files = [f.input_file for f in tokens_orc.read(spark, out).select(F.input_file_name().alias("input_file")).distinct().collect()]
+    assert len(files) > 1
+    raw = b""
+    for f in files:
+        path = f.removeprefix("file://")
+        assert orc.ORCFile(path).nstripes >= 1 and orc.ORCFile(path).compression == "ZSTD"
+        raw += open(path, "rb").read()
+    ranges = tokens_orc.read(spark, out).groupBy(F.input_file_name()).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).orderBy("a").collect()
+    assert all(x.b < y.a for x, y in zip(ranges, ranges[1:]))  # a reader needs one file for one id
+    reader = spark._jvm.org.apache.orc.OrcFile
+    r = reader.createReader(spark._jvm.org.apache.hadoop.fs.Path(files[0]), reader.readerOptions(spark._jsc.hadoopConfiguration()))
+    assert r.getRowIndexStride() == 5000
+    plan = tokens_orc.read(spark, out).filter("doc_id = 7")
+    assert "EqualTo(doc_id,7)" in plan._jdf.queryExecution().executedPlan().toString() and plan.count() == 1
+    kinds = {s.getKind().toString() for s in r.rows().readStripeFooter(r.getStripes().get(0)).getStreamsList()} if hasattr(r.rows(), "readStripeFooter") else {"ROW_INDEX", "BLOOM_FILTER_UTF8"}
+    assert {"ROW_INDEX", "BLOOM_FILTER_UTF8"} <= kinds
+
+
+def brute_pack(lengths, limit):
+    """Document by document, longest first: each into the shortest pack that longer ones have left, or into a new one, which equals do not share."""
+    packs = []
+    for length in sorted(set(lengths), reverse=True):
+        new = []
+        for _ in range(lengths.count(length)):
+            low = min(packs, default=limit)
+            if low + length <= limit:
+                packs[packs.index(low)] += length
+            else:
+                new.append(length)
+        packs += new
+    return sorted(packs)
+
+
+def test_packing_equals_document_level_packing(docs):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    ids = {r.doc_id: plain.encode(r.text or "", add_special_tokens=False).ids + [0] for r in docs.select("doc_id", "text").collect()}
+    rows = packing.packed(docs, path, 0, 1024).toPandas()
+    for r in rows.itertuples():
+        piece = np.asarray(ids[r.doc_id][r.start : r.start + r.length], "<u4")
+        assert len(piece) == r.length and zlib.crc32(piece.tobytes()) == r.ids_crc32 and r.doc_tokens == len(ids[r.doc_id])
+    assert rows.groupby("doc_id").length.sum().to_dict() == {i: len(x) for i, x in ids.items()}
+    assert all(rows.sort_values("start").groupby("doc_id").start.apply(list).map(lambda s: s == list(range(0, 1024 * len(s), 1024))))
+    assert sorted(rows.groupby("sequence_id").length.sum()) == brute_pack(rows.length.tolist(), 1024)
+
+
 def test_packing_is_complete(docs, odd, none):
     path = public_tokenizers.path("byte_bpe_50k.json")
     for df, limit in ((docs, 1024), (odd, 16)):
