@@ -1,19 +1,22 @@
 """Benchmark decontamination: CGK random walks, bit-sampling LSH, exact edit distance.
 
-Items and documents become sequences of lower-cased words without ASCII punctuation. A window of an item's size is laid
-wherever a document holds one of the item's ``ANCHORS`` rarest words, aligned by the word's
-place in the item. Windows are embedded by the CGK random walk: at step j the walk emits its
-current word and advances by a random bit of (j, word), so that a small edit distance becomes
-a small Hamming distance. ``REPEATS`` independent walks each compare ``BITS`` sampled
-coordinates; a window that agrees in any repeat is verified by exact edit distance against
-the best matching stretch of text, at most a quarter of the item's words.
+Items and documents become sequences of lower-cased words without ASCII punctuation. A link is
+a stretch of text within a quarter of the item's words by edit distance. Windows of an item's
+size are laid over a document wherever a link can be: q = n // 4 edits leave two at least of any q + 2
+of the item's n positions untouched, so a link shows two words of the item's q + 2 rarest
+positions, at places that agree on where the item starts to within q words. Windows without such a pair
+cannot match and are skipped; nothing else is. Windows are embedded by the CGK random walk: at
+step j the walk emits its current word and advances by a random bit of (j, word), so that a
+small edit distance becomes a small Hamming distance. ``REPEATS`` independent walks each
+compare ``BITS`` sampled coordinates; a window that agrees in any repeat is verified by exact
+edit distance against the best matching stretch of text.
 
 The benchmark is the stated query set. It is broadcast in blocks of ``BLOCK`` items, each of
 which meets every document, without any shuffle; edits of more than a quarter are not links.
 
-Edge cases: a null or wordless text matches nothing; items without words are left out; an
-empty benchmark matches nothing; repeated items are all reported; a passage broken by line
-ends, punctuation or case still matches; extra columns are not read.
+Edge cases: a null or wordless text matches nothing; items without words, text or id are left out; an
+empty benchmark matches nothing; repeated items are all reported, repeated rows of one item_id
+once; a passage broken by line ends, punctuation or case still matches; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 
 from pairloom.llm.common import plain_words, process_cache
 
-ANCHORS, REPEATS, BITS, BLOCK = 10, 24, 2, 5000
+REPEATS, BITS, BLOCK, WINDOWS = 24, 2, 5000, 20_000
 
 
 class Items:
@@ -46,16 +49,16 @@ class Items:
         spots: list[tuple[int, int, int]] = []
         for k, s in enumerate(self.seqs):
             order = sorted(range(len(s)), key=lambda o: (df[int(s[o])], -len(names[s[o]]), o))
-            spots += [(int(s[o]), k, o) for o in order[:ANCHORS]]
-        self.anchors = np.minimum(self.sizes, ANCHORS)
+            spots += [(int(s[o]), k, o) for o in order[: len(s) // 4 + 2]]
+        self.anchors = np.minimum(self.sizes, self.sizes // 4 + 2)
         spots.sort()
         self.spots = np.array(spots, np.int64).reshape(-1, 3)
         self.first = np.searchsorted(self.spots[:, 0], np.arange(len(names) + 1))
         rng = np.random.default_rng(5)
         longest = int(self.sizes.max(initial=1))
-        self.steps = 2 * longest
-        # The walk's bits: bit (step % 64) of hash number (step // 64) of a word, in each repeat.
-        self.walk = rng.integers(0, 1 << 63, (len(names), REPEATS, self.steps // 64 + 1), dtype=np.uint64)
+        # Bit j of a word in a repeat: the top bit of its number times the repeat's odd multiplier of step j.
+        self.number = rng.integers(0, 1 << 63, len(names), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.factor = rng.integers(0, 1 << 63, (2 * longest + 2, REPEATS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         share = rng.random((REPEATS, BITS))
         self.samples = np.floor(share[None] * np.maximum(1, 1.5 * self.sizes)[:, None, None]).astype(np.int64)
         if len(self.seqs):
@@ -64,7 +67,7 @@ class Items:
 
     def embedded(self, flat: np.ndarray, item: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """(windows, REPEATS, BITS) sampled words of each window's walks; -1 beyond the window or text."""
-        n, cols = len(item), np.arange(REPEATS)[None, :]
+        n = len(item)
         i = np.zeros((n, REPEATS), np.int64)
         out = np.full((n, REPEATS, BITS), -1, np.int64)
         size, pick = self.sizes[item][:, None], self.samples[item]
@@ -75,7 +78,7 @@ class Items:
             for b in range(BITS):
                 hit = pick[:, :, b] == j
                 out[:, :, b][hit] = np.where(inside, word, -1)[hit]
-            i += ((self.walk[word, cols, j // 64] >> np.uint64(j % 64)) & np.uint64(1)).astype(np.int64)
+            i += ((self.number[word] * self.factor[j]) >> np.uint64(63)).astype(np.int64)
         return out
 
     def close(self, k: int, text: np.ndarray) -> bool:
@@ -107,16 +110,17 @@ class Items:
         row = np.repeat(self.first[flat[at]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         item, start = self.spots[row, 1], np.repeat(at, n) - self.spots[row, 2]
         doc = np.repeat(np.searchsorted(ends, at, side="right"), n)
-        # A window needs a second anchor at nearly the same place, as any match has several of them.
+        # A window needs a second anchor at nearly the same place, as every link has one.
         key = doc * len(self.seqs) + item
         order = np.lexsort((start, key))
         key, item, start, doc = key[order], item[order], start[order], doc[order]
         close = (key[1:] == key[:-1]) & (start[1:] - start[:-1] <= self.sizes[item[1:]] // 4)
         voted = np.append(close, False) | np.append(False, close) | (self.anchors[item] < 2)
         voted &= np.append(True, (key[1:] != key[:-1]) | (start[1:] != start[:-1]))  # one window a place
-        item, start, doc = item[voted], start[voted], doc[voted]
-        for s in range(0, len(item), 20_000):
-            it, st, d = item[s : s + 20_000], start[s : s + 20_000], doc[s : s + 20_000]
+        by_size = np.argsort(self.sizes[item[voted]], kind="stable")  # walks of one block are of like length
+        item, start, doc = item[voted][by_size], start[voted][by_size], doc[voted][by_size]
+        for s in range(0, len(item), WINDOWS):
+            it, st, d = item[s : s + WINDOWS], start[s : s + WINDOWS], doc[s : s + WINDOWS]
             seen = self.embedded(flat, it, st, ends[d] - sizes[d], ends[d])
             agree = ((seen == self.own[it]) & (seen > 0)).all(axis=2).any(axis=1)
             for k, a, x in zip(it[agree].tolist(), st[agree].tolist(), d[agree].tolist()):

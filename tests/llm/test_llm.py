@@ -4,7 +4,7 @@ import hashlib
 import math
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -362,6 +362,55 @@ def test_decontamination_finds_edited_passages(spark, odd, none):
     assert none.select(decontaminate.hits(none, bench)).count() == 0
 
 
+def edit_links(text, item):
+    """Whether some stretch of ``text`` is within a quarter of ``item`` by edit distance over words."""
+    t, w = decontaminate.plain_words(text), decontaminate.plain_words(item)
+    number = {x: k for k, x in enumerate(w)}
+    t = np.array([number.get(x, -1) for x in t] or [-1])
+    row = np.zeros(len(t) + 1)
+    for x in w:
+        up = np.minimum(row[1:] + 1, row[:-1] + (t != number[x]))
+        new = np.concatenate([[row[0] + 1], up])
+        row = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
+    return row.min() <= len(w) // 4
+
+
+def test_decontamination_against_edit_distance(spark, docs):
+    """All pairs of documents and items, and items with a quarter of their words edited, rarest words first."""
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    met = Counter(x for _, t in bench for x in set(decontaminate.plain_words(t)))
+    rng = np.random.default_rng(8)
+    texts = [r.text for r in docs.orderBy("doc_id").collect()][:60]
+    aimed = []
+    for k, (i, t) in enumerate(bench):
+        w = decontaminate.plain_words(t)
+        order = sorted(range(len(w)), key=lambda j: (met[w[j]], -len(w[j]), j))
+        out = list(w)
+        for q, j in enumerate(order[: len(w) // 4]):
+            out[j] = [b"zzz", b"", b"zz " + w[j]][q % 3]
+        at = int(rng.integers(0, 40))
+        words = (texts[k % len(texts)] or "").split()
+        aimed.append(" ".join(words[:at] + [x.decode() for x in out if x] + words[at:]))
+    rows = list(enumerate(texts + aimed))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    b = spark.createDataFrame(bench + bench[:3] + [(bench[0][0] + 10_000, bench[0][1])], "item_id long, text string")
+    got = {r.doc_id: set(r.h) for r in df.select("doc_id", decontaminate.hits(df, b).alias("h")).collect()}
+    same = {(i, j) for i, t in bench for j, u in bench if i != j and t == u}
+    want = {(d, i) for d, t in rows for i, x in bench if edit_links(t, x)}
+    found = {(d, i) for d, h in got.items() for i in h if i < 10_000}
+    assert found <= want and len(found) >= 0.97 * len(want) and not same
+    aimed_at = {(len(texts) + k, i) for k, (i, _) in enumerate(bench)}
+    assert aimed_at <= want and len(aimed_at & found) >= 0.97 * len(aimed_at)
+    assert {d for d, h in got.items() if bench[0][0] in h} == {d for d, h in got.items() if bench[0][0] + 10_000 in h}
+
+
+def test_decontamination_of_a_very_long_item(spark):
+    long = " ".join(f"w{k % 4001}" for k in range(20_000))
+    df = spark.createDataFrame([(1, "x y " + long + " z"), (2, long[:1000]), (3, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, long), (8, "x y w0 w1 w2 w3")], "item_id long, text string")
+    assert {r.doc_id: list(r.h) for r in df.select("doc_id", decontaminate.hits(df, bench).alias("h")).collect()} == {1: [7, 8], 2: [], 3: []}
+
+
 def test_exact_benchmark_passages_are_found(spark, docs):
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     got = {r.doc_id: set(r.item_ids) for r in catalog.op9_decontaminate(spark, SF).collect()}
