@@ -1,18 +1,21 @@
 """HTML extraction: a tree-structured graphical model over the DOM.
 
 Each element that bounds blocks, and each block of text, is a node that is content or not.
-A node's own potential is a logistic score of its features (tag, words of class and id,
-text length, link density, place); a parent and a child share a potential estimated from how
-labels follow each other down labelled pages. Sum-product messages go up and then down the
-tree, and blocks with a content marginal of at least one half are the main text. The model is
-trained on ``labelled_pages``: pages written from a seeded grammar whose every block is marked,
-as the tables carry no labelled pages.
+A node's own potential is a logistic score of its features (tag, hashed words and tokens of
+class, id and role, text length, link density, place); a parent and a child share a potential
+for each pair of labels. Sum-product messages go up and then down the tree, and blocks with a
+content marginal of at least one half are the main text. Both kinds of potentials are learned
+together by the likelihood of whole labelled trees, whose gradient the same messages give. The
+pages for that (``labelled_pages``) come from a seeded grammar in which every block is marked,
+as the tables carry no labelled pages; no list of names takes part outside that grammar, and a name
+alone decides nothing, as content there carries misleading names too.
 
 Block rules: character references are decoded, white space inside a block becomes one blank,
 blocks are joined in page order by two line feeds; scripts, styles and form controls are no
 text. Edge cases: null or empty html gives an empty text, so does a page without content;
-unclosed tags end with their parent; text beside no element forms its own block; repeated
-rows extract alike; extra columns are not read.
+unclosed tags end with their parent, an unclosed head or button where the page's blocks begin;
+text beside no element forms its own block; repeated rows extract alike; an empty table
+gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from dataclasses import dataclass
 from functools import cache
 from html import unescape
 from random import Random
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -29,24 +33,26 @@ from pyspark.sql import functions as F
 
 # Fixed values of the HTML language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea select option button iframe object svg math canvas audio video head title datalist".split())
+RAW = frozenset("script style noscript template textarea select option button iframe object svg math canvas audio video title datalist".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins del kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var img br wbr input".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr"}, "th": {"tr"}}
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*+)>|<[!?/][^>]*+(?:>|\Z)""", re.S)
-_NAMES = re.compile(r"""\b(class|id|role|hidden|style|data-y|aria-label)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _WORD = re.compile(r"[a-z]+")
+#: Fixed values of the HTML language: what a head may hold, and what ends a control whose end tag is missing.
+HEAD = frozenset("title meta link script style base noscript template bgsound basefont".split())
+ENDS_CONTROL = CLOSES_P | {"body", "html", "td", "th", "tr", "li", "dd", "dt"}
 
 TAGS = ["article", "main", "nav", "header", "footer", "aside", "form", "menu", "ul", "li", "table", "p", "h", "section", "div", "quote", "dialog", "body"]
 _TAG_OF = {t: i for i, t in enumerate(TAGS)} | {f"h{i}": TAGS.index("h") for i in range(1, 7)}
 _TAG_OF |= {"ol": TAGS.index("ul"), "dl": TAGS.index("ul"), "dd": TAGS.index("li"), "dt": TAGS.index("li"), "blockquote": TAGS.index("quote"), "pre": TAGS.index("quote"), "figure": TAGS.index("quote"), "figcaption": TAGS.index("quote"), "tr": TAGS.index("table"), "td": TAGS.index("table"), "th": TAGS.index("table"), "tbody": TAGS.index("table"), "fieldset": TAGS.index("form"), "details": TAGS.index("div")}
-#: Words of class, id or role that tell of boilerplate, reader comments, or content.
-BOILER = frozenset("nav navbar navigation menu menubar header masthead footer foot sidebar side rail widget ad ads advert advertisement advertising adbox banner promo promotion sponsor sponsored sponsoring cookie cookies consent gdpr notice notices notification alert popup modal overlay dialog breadcrumb breadcrumbs related recommended recommendations share sharing social newsletter subscribe subscription signup login search form toolbar pagination pager tags copyright legal skip contentinfo complementary hidden toc trending teaser teasers".split())
-TALK = frozenset("comment comments commentlist reply replies discussion disqus respond responses feedback reviews thread".split())
-GOOD = frozenset("article content post entry main story body text prose page maincontent articlebody".split())
-WIDTH = len(TAGS) + 14
+#: Slots that the words and whole tokens of class, id and role are hashed to; their weights are learned.
+NAME_SLOTS = 512
+PLAIN = len(TAGS) + 11
+WIDTH = PLAIN + NAME_SLOTS
 
 
 class Node:
@@ -57,8 +63,8 @@ class Node:
         self.text, self.links, self.block = 0, 0, None
 
 
-def dom(html: str) -> Node:
-    """The tree of block elements with text blocks as leaves (``block`` holds their text)."""
+def dom(html: str, marked: bool = False) -> Node:
+    """The tree of block elements with text blocks as leaves (``block`` holds their text). ``marked`` pages carry labels in ``data-y``."""
     root = Node("body", None)
     stack: list[tuple[str, Node]] = [("body", root)]
     pieces: list[str] = []
@@ -88,18 +94,27 @@ def dom(html: str) -> Node:
             continue
         closing = bool(m[1] or m[4])
         if skip:
-            if closing and tag == skip or skip == "head" and tag == "body":
+            if closing and tag == skip or not closing and (skip == "head" and tag not in HEAD or skip in ("button", "select", "option", "datalist") and tag in ENDS_CONTROL):
                 skip = ""
-            if skip or closing:
+            elif skip == "head" and tag in HEAD and not closing:
+                pass  # its content is no text, whatever it holds
+            else:
                 continue
+            if closing:
+                continue
+        if tag == "head":
+            skip = "" if closing else "head"
+            continue
         if tag in RAW:
             if not closing and not (m[0].endswith("/>")):
                 if tag in ("script", "style", "textarea", "title", "noscript", "template", "iframe"):
-                    end = html.lower().find(f"</{tag}", at) if tag not in ("script", "style") else _raw_end(html, tag, at)
+                    end = _raw_end(html, tag, at)
                     at = len(html) if end < 0 else html.find(">", end) + 1 or len(html)
-                else:
+                elif not skip:
                     skip = tag
             continue
+        if skip:
+            continue
         if tag == "a":
             anchors = 0 if closing else 1
         if tag in INLINE:
@@ -125,7 +140,7 @@ def dom(html: str) -> Node:
                     break
                 if stack[depth][0] in SCOPES[tag]:
                     break
-        node = stack[0][1] if tag == "body" else _element(tag, m[3] if m[2] else m[6], stack[-1][1])
+        node = stack[0][1] if tag == "body" else _element(tag, m[3] if m[2] else m[6], stack[-1][1], marked)
         if tag == "body":
             continue
         stack[-1][1].kids.append(node)
@@ -142,18 +157,20 @@ def _raw_end(html: str, tag: str, at: int) -> int:
     return found.start() if found else -1
 
 
-def _element(tag: str, attributes: str, parent: Node) -> Node:
+def _element(tag: str, attributes: str, parent: Node, marked: bool) -> Node:
     if not attributes or attributes.isspace():
         return Node(tag, parent)
     words, hidden, label = set(), False, None
-    for name, value in _NAMES.findall(attributes):
+    for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "style" and "display:none" in value.replace(" ", ""):
             hidden = True
-        elif name == "data-y":
+        elif name in ("class", "id", "role"):
+            for token in value.split():
+                words.update(_WORD.findall(token))
+                words.add("=" + token)
+        elif marked and name == "data-y":
             label = int(value)
-        elif name != "style":
-            words.update(_WORD.findall(value))
     return Node(tag, parent, frozenset(words), hidden, label)
 
 
@@ -171,33 +188,42 @@ def ordered(root: Node) -> list[Node]:
     return out
 
 
+class _Slots(dict):
+    """Memo from a word or token to its feature."""
+
+    def __missing__(self, word: str) -> int:
+        slot = PLAIN + crc32(word.encode("utf-8", "replace")) % NAME_SLOTS
+        if len(self) < 100_000:
+            self[word] = slot
+        return slot
+
+
+_slots = _Slots()
+
+
 def features(nodes: list[Node]) -> np.ndarray:
+    """What each node shows by itself; what its surroundings say comes by messages."""
     x = np.zeros((len(nodes), WIDTH))
     base = len(TAGS)
-    inside: dict[int, tuple[bool, bool]] = {}  # below a content landmark, below a boilerplate one
     for i, n in enumerate(nodes):
         row = x[i]
         if n.tag in _TAG_OF:
             row[_TAG_OF[n.tag]] = 1
         row[base] = 1
-        row[base + 1] = not n.words.isdisjoint(BOILER)
-        row[base + 2] = not n.words.isdisjoint(TALK)
-        row[base + 3] = not n.words.isdisjoint(GOOD)
-        row[base + 4] = n.hidden
+        row[base + 1] = n.hidden
         density = n.links / n.text if n.text else 0
-        row[base + 5] = density
-        row[base + 6] = density > 0.6
-        row[base + 7] = min(n.text, 2000) ** 0.5 / 45
+        row[base + 2] = density
+        row[base + 3] = density > 0.6
+        row[base + 4] = n.text / (n.text + 400)
         if n.block is not None:
-            row[base + 8] = 1
-            row[base + 9] = min(n.text, 400) / 400
-            row[base + 10] = n.block[-1:] in ".!?"
-        row[base + 11] = n.parent is not None and n.parent.tag == "body"
-        good, bad = inside[id(n.parent)] if n.parent is not None else (False, False)
-        good |= n.tag in ("article", "main") or row[base + 3] == 1
-        bad |= n.tag in ("nav", "aside", "footer", "form") or row[base + 1] == 1 or row[base + 2] == 1 or n.hidden
-        inside[id(n)] = good, bad
-        row[base + 12], row[base + 13] = good and not bad, bad
+            row[base + 5] = 1
+            row[base + 6] = n.text / (n.text + 100)
+            row[base + 7] = n.block[-1:] in ".!?"
+        row[base + 8] = n.parent is not None and n.parent.tag == "body"
+        row[base + 9] = n.text == 0
+        row[base + 10] = bool(n.words)
+        for word in n.words:
+            row[_slots[word]] = 1
     return x
 
 
@@ -254,6 +280,12 @@ def labelled_pages(count: int = 300, seed: int = 3) -> list[str]:
     def links(n):
         return "".join(f'<li><a href="/x">{some(1, 3, "")}</a></li>' for _ in range(n))
 
+    def noise(tag_attr):
+        """Names that say little, some with a word that tells of boilerplate elsewhere."""
+        some_names = ["row", "col", "wrap", "inner", "clearfix", "hentry", "status-publish", "tags-news", "no-comments", "has-sidebar", "with-ads", "share-enabled", "category-menu", "notice-free", "type-post", "grid", "box", "container", "header-fixed", "footer-visible", "related-on"]
+        extra = " ".join(rng.sample(some_names, rng.randint(1, 3)))
+        return tag_attr.replace('class="', f'class="{extra} ', 1) if 'class="' in tag_attr else f'{tag_attr} class="{extra}"'
+
     def names(words):
         return pick("", f' class="{pick(*words)}"', f' id="{pick(*words)}"', f' class="{pick("site", "page", "x", "block")}-{pick(*words)}"')
 
@@ -297,6 +329,10 @@ def labelled_pages(count: int = 300, seed: int = 3) -> list[str]:
         if rng.random() < 0.2:
             parts[0] = f"<header>{parts[0]}</header>"
         inner = "".join(parts)
+        if rng.random() < 0.35:  # a container that says nothing, or little
+            where = pick("div", "div", "section", "article", "main")
+            attr = pick("", "", noise("")) if where in ("div", "section") else noise(f' class="{pick("post", "entry", "story")}"')
+            return pick(f'<{where}{attr} data-y="1">{inner}</{where}>', f'<div{noise("")}><{where}{attr} data-y="1">{inner}</{where}></div>', f'<div><div data-y="1">{inner}</div></div>')
         return pick(
             f'<article data-y="1">{inner}</article>', f'<article data-y="1">{inner}</article>', f'<main data-y="1">{inner}</main>', f'<main><article data-y="1">{inner}</article></main>',
             f'<div class="{pick("content", "post", "entry-content", "article-body", "story", "main")}" data-y="1">{inner}</div>', f'<div id="{pick("content", "main", "article")}" data-y="1">{inner}</div>',
@@ -308,44 +344,77 @@ def labelled_pages(count: int = 300, seed: int = 3) -> list[str]:
         tail = [boiler() for _ in range(rng.randrange(0, 3))] + [f'<footer{names(["footer"])} data-y="0">{pick("", "&copy; ")}{pick(some(2, 30), f"<p>{some(2, 30)}</p>")}</footer>'] * int(rng.random() < 0.9)
         body = "".join(top) + story() + "".join(tail)
         if rng.random() < 0.25:
-            body = f'<div class="{pick("page", "wrapper", "container")}">{body}</div>'
+            body = f'<div{pick(noise(""), noise(f""" class="{pick("page", "wrapper", "container")}" """.rstrip()))}>{body}</div>'
         pages.append(f"<!DOCTYPE html><html><head><title>x</title></head><body>{body}</body></html>")
     return pages
 
 
+def _labels(nodes: list[Node]) -> list[int]:
+    """Labels hold for what stands below, until another one; an unlabelled ancestor is content if most of its text is."""
+    label: dict[int, int | None] = {}
+    for n in nodes:
+        label[id(n)] = n.label if n.label is not None else None if n.parent is None else label[id(n.parent)]
+    share: dict[int, list[int]] = {}
+    for n in reversed(nodes):
+        good, all_ = share.get(id(n), [0, 0])
+        if n.block is not None:
+            good, all_ = n.text * (label[id(n)] or 0), n.text
+        if n.parent is not None:
+            s = share.setdefault(id(n.parent), [0, 0])
+            s[0] += good
+            s[1] += all_
+        if label[id(n)] is None:
+            label[id(n)] = int(2 * good > all_)
+    return [label[id(n)] for n in nodes]
+
+
+def fit(x: np.ndarray, y: np.ndarray, parent: np.ndarray, steps: int = 250, ridge: float = 0.5) -> DomModel:
+    """Maximum likelihood of whole labelled trees: the gradient is what the labels show less what sum-product expects.
+
+    Nodes of all pages are rows, parents before children; the messages of one depth go at once.
+    """
+    depth = np.zeros(len(y), int)
+    for i in np.flatnonzero(parent >= 0):
+        depth[i] = depth[parent[i]] + 1
+    levels = [np.flatnonzero(depth == d) for d in range(1, depth.max() + 1)]
+    child = np.flatnonzero(parent >= 0)
+    up_to = parent[child]
+    seen = np.array([np.sum((y[up_to] == a) & (y[child] == b)) for a in (0, 1) for b in (0, 1)], float)
+    theta, m, v = (np.zeros(x.shape[1] + 4) for _ in range(3))
+    for step in range(1, steps + 1):
+        pair = theta[-4:]
+        t00, t01, t10, t11 = np.exp(pair)
+        up, sent = x @ theta[:-4], np.zeros(len(y))
+        for at in reversed(levels):
+            r = np.exp(np.clip(up[at], -40, 40))
+            sent[at] = np.log((t10 + t11 * r) / (t00 + t01 * r))
+            np.add.at(up, parent[at], sent[at])
+        full = up.copy()
+        for at in levels:
+            r = np.exp(np.clip(full[parent[at]] - sent[at], -40, 40))
+            full[at] = up[at] + np.log((t01 + t11 * r) / (t00 + t10 * r))
+        above, below = np.clip(full[up_to] - sent[child], -40, 40), np.clip(up[child], -40, 40)
+        joint = np.exp(np.stack([pair[0] + 0 * above, pair[1] + below, pair[2] + above, pair[3] + above + below]))
+        expected = (joint / joint.sum(axis=0)).sum(axis=1)
+        p = 1 / (1 + np.exp(-np.clip(full, -40, 40)))
+        g = np.concatenate([x.T @ (y - p), seen - expected]) - ridge * theta
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        theta += 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    return DomModel(theta[:-4], theta[-4:].reshape(2, 2))
+
+
 @cache
 def train(count: int = 300, seed: int = 3) -> DomModel:
-    """Logistic own potentials and parent-child log odds from the labelled pages."""
-    xs, ys, pair = [], [], np.ones((2, 2))
+    """The model of the labelled pages."""
+    xs, ys, parents, before = [], [], [], 0
     for html in labelled_pages(count, seed):
-        nodes = ordered(dom(html))
-        label: dict[int, int | None] = {}
-        for n in nodes:  # labels hold for what stands below, until another one
-            label[id(n)] = n.label if n.label is not None else None if n.parent is None else label[id(n.parent)]
-        share: dict[int, list[int]] = {}
-        for n in reversed(nodes):  # an unlabelled ancestor is content if most of its text is
-            good, all_ = share.get(id(n), [0, 0])
-            if n.block is not None:
-                good, all_ = n.text * (label[id(n)] or 0), n.text
-            if n.parent is not None:
-                s = share.setdefault(id(n.parent), [0, 0])
-                s[0] += good
-                s[1] += all_
-            if label[id(n)] is None:
-                label[id(n)] = int(2 * good > all_)
+        nodes = ordered(dom(html, marked=True))
+        index = {id(n): before + i for i, n in enumerate(nodes)}
+        parents += [-1 if n.parent is None else index[id(n.parent)] for n in nodes]
+        before += len(nodes)
         xs.append(features(nodes))
-        ys += [label[id(n)] for n in nodes]
-        for n in nodes:
-            if n.parent is not None:
-                pair[label[id(n.parent)], label[id(n)]] += 1
-    x, y = np.vstack(xs), np.array(ys, float)
-    w = np.zeros(x.shape[1])
-    for _ in range(25):  # Newton steps with a small ridge
-        p = 1 / (1 + np.exp(-x @ w))
-        h = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + 0.5 * np.eye(len(w))
-        w -= np.linalg.solve(h, x.T @ (p - y) + 0.5 * w)
-    log = np.log(pair / pair.sum(axis=1, keepdims=True)) - np.log(pair.sum(axis=0) / pair.sum())
-    return DomModel(w, log)
+        ys += _labels(nodes)
+    return fit(np.vstack(xs), np.array(ys, float), np.array(parents))
 
 
 def extractor(model: DomModel, spark):

@@ -421,7 +421,7 @@ def test_exact_benchmark_passages_are_found(spark, docs):
 def test_html_of_held_out_pages():
     model, wrong, total = html_extract.train(), 0, 0
     for page in html_extract.labelled_pages(40, 77):
-        nodes = html_extract.ordered(html_extract.dom(page))
+        nodes = html_extract.ordered(html_extract.dom(page, marked=True))
         label = {}
         for n in nodes:
             label[id(n)] = n.label if n.label is not None else None if n.parent is None else label[id(n.parent)]
@@ -432,6 +432,56 @@ def test_html_of_held_out_pages():
     assert wrong <= 0.02 * total
 
 
+ARTICLE = "<h1>A title of it</h1><p>The first paragraph has quite some words in it, as they do.</p><p>And another one follows the first, no longer than that.</p>"
+NAV, FOOT = "<nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav>", "<footer>&copy; us</footer>"
+PAGES = [  # written by hand, not by the grammar that the model learns from
+    f"<body>{NAV}<article data-y>{ARTICLE}</article>{FOOT}", f'<body>{NAV}<article data-y="abc" data-y-offset="3">{ARTICLE}</article>{FOOT}',
+    f'<body>{NAV}<article class="post tags-news">{ARTICLE}</article>{FOOT}', f'<body>{NAV}<div class="no-comments"><article>{ARTICLE}</article></div>{FOOT}',
+    f'<body>{NAV}<article aria-hidden="false">{ARTICLE}</article>{FOOT}', f"<body>{NAV}<button>Menu<article>{ARTICLE}</article>{FOOT}",
+    f"<html><head><title>x</title>{NAV}<article>{ARTICLE}</article>{FOOT}", f"<html><body><div><div>{ARTICLE}</div></div></body></html>", f"<html><body>{NAV}<div><div>{ARTICLE}</div></div>{FOOT}</body></html>",
+    f'<html><head><meta content="İİİİ"><title>x İ</title></head><body>{NAV}<article>{ARTICLE}</article>{FOOT}',
+    f'<body>{NAV}<article>{ARTICLE}</article><section class="comments"><h2>Talk</h2><div class=comment><p>A reader says that this is nice to have and long as well, in words.</p></div></section>{FOOT}',
+    f'<body>{NAV}<main><article>{ARTICLE}</article><aside class="sidebar"><h3>More</h3><p>Some words stand here beside the article and are not of it.</p></aside></main>{FOOT}',
+    f'<body><div id="cookie-banner"><p>We use cookies to make all things better for you.</p></div>{NAV}<article>{ARTICLE}</article>{FOOT}',
+    f"<body>{NAV}<article><script>if(a<b)'</p>'</script><SCRIPT>x</SCRIPT>{ARTICLE}<textarea>no</textarea></article>{FOOT}",
+]
+
+
+@pytest.mark.parametrize("page", PAGES)
+def test_html_of_pages_written_by_hand(page):
+    want = "A title of it\n\nThe first paragraph has quite some words in it, as they do.\n\nAnd another one follows the first, no longer than that."
+    assert html_extract.extract(page, html_extract.train()) == want
+
+
+def test_html_of_odd_tables(spark):
+    schema = "page_id long, url string, html string, text int, n_chars string, tag string"
+    main_text = html_extract.extractor(html_extract.train(), spark)
+    df = spark.createDataFrame([(1, "u", PAGES[0], 1, "x", None), (1, "u", PAGES[0], 1, "x", None), (None, None, None, None, None, None), (2, "v", PAGES[0] + " ".join(["<p>more of it</p>"] * 20_000), 0, "", "")], schema)
+    rows = df.select("page_id", main_text("html").alias("t")).collect()
+    assert len(rows) == 4 and len({r.t for r in rows if r.page_id == 1}) == 1 and [r.t for r in rows if r.page_id is None] == [""]
+    assert spark.createDataFrame([], schema).select(main_text("html")).count() == 0
+
+
+def test_tree_likelihood_gradient():
+    """Training moves towards the labels' likelihood: on two small trees the fitted marginals follow them."""
+    x = np.array([[1, 0], [0, 1], [1, 0], [1, 0], [0, 1.0], [0, 1]])
+    y, parent = np.array([1, 1, 0, 0, 0, 1.0]), np.array([-1, 0, 0, -1, 3, 0])
+    model = html_extract.fit(x, y, parent, steps=400, ridge=0.01)
+
+    def loglik(theta):
+        from itertools import product
+
+        def energy(v):
+            return sum(theta[:2] @ x[i] for i in range(6) if v[i]) + sum(theta[2 + 2 * int(v[parent[i]]) + int(v[i])] for i in range(6) if parent[i] >= 0)
+
+        return energy(y) - math.log(sum(math.exp(energy(v)) for v in product((0, 1), repeat=6))) - 0.005 * theta @ theta
+
+    theta = np.concatenate([model.weight, model.pair.ravel()])
+    best = loglik(theta)
+    for d in np.eye(6):
+        assert loglik(theta + 0.3 * d) < best + 1e-3 and loglik(theta - 0.3 * d) < best + 1e-3
+
+
 def test_sum_product_equals_enumeration():
     from itertools import product
 
