@@ -368,7 +368,7 @@ def _labels(nodes: list[Node]) -> list[int]:
     return [label[id(n)] for n in nodes]
 
 
-def fit(x: np.ndarray, y: np.ndarray, parent: np.ndarray, steps: int = 250, ridge: float = 0.5) -> DomModel:
+def fit(x: np.ndarray, y: np.ndarray, parent: np.ndarray, steps: int = 400, ridge: float = 0.1) -> DomModel:
     """Maximum likelihood of whole labelled trees: the gradient is what the labels show less what sum-product expects.
 
     Nodes of all pages are rows, parents before children; the messages of one depth go at once.
@@ -404,7 +404,7 @@ def fit(x: np.ndarray, y: np.ndarray, parent: np.ndarray, steps: int = 250, ridg
 
 
 @cache
-def train(count: int = 300, seed: int = 3) -> DomModel:
+def train(count: int = 800, seed: int = 3) -> DomModel:
     """The model of the labelled pages."""
     xs, ys, parents, before = [], [], [], 0
     for html in labelled_pages(count, seed):
