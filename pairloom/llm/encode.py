@@ -18,7 +18,7 @@ from struct import pack
 from pairloom.llm.common import process_cache
 
 #: Pieces kept by one Python worker.
-KEPT_PIECES = 800_000
+KEPT_PIECES, SHORT_PIECE = 800_000, 8
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _OTHER = re.compile(f"[^\\t\\n\\r\\x20-\\x7e{_LETTERS}]")
@@ -58,25 +58,46 @@ class Encoder:
         plain = (rules["normalizer"], rules["pre_tokenizer"]) == _SPLITS[kind]
         self.pattern, self.lowered, self.kept = _PIECES[kind] if plain else None, kind == "lowered", {}
         added = [t["content"] for t in rules["added_tokens"]]
-        self.odd = re.compile("|".join([_OTHER.pattern, *map(re.escape, added)]), re.I if any(t["normalized"] for t in rules["added_tokens"]) else 0)
+        self.added = [x.lower() for x in added] if any(t["normalized"] for t in rules["added_tokens"]) else added
+        self.any_case = self.added is not added
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [pack(f"<{len(x.ids)}I", *x.ids) for x in found]
+        return [pack(f"<{len(ids)}I", *ids) for ids in (x.ids for x in found)]
+
+    def is_plain(self, text: str) -> bool:
+        """Whether the pieces of ``text`` follow from the pattern."""
+        if self.pattern is None or _OTHER.search(text):
+            return False
+        seen = text.lower() if self.any_case else text
+        return not any(x in seen for x in self.added)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
         for s in range(0, len(texts), 256):
-            plain = [i for i in range(s, min(s + 256, len(texts))) if self.pattern and not self.odd.search(texts[i])]
-            odd = sorted({*range(s, min(s + 256, len(texts)))} - {*plain})
+            every = range(s, min(s + 256, len(texts)))
+            plain = [i for i in every if self.is_plain(texts[i])]
+            odd = sorted({*every} - {*plain})
             for i, ids in zip(odd, self.whole([texts[i] for i in odd])):
                 out[i] = ids
+            if len(self.kept) > KEPT_PIECES:
+                self.kept = {k: v for k, v in self.kept.items() if len(k) <= SHORT_PIECE}  # these come back most
             if len(self.kept) > KEPT_PIECES:
                 self.kept = {}
-            split = [self.pattern.findall(texts[i].lower() if self.lowered else texts[i]) for i in plain]
-            new = list(set().union(*split) - self.kept.keys())
-            self.kept.update(zip(new, self.whole(new)))
-            get = self.kept.__getitem__
-            for i, pieces in zip(plain, split):
-                out[i] = b"".join(map(get, pieces))
+            get, late, new = self.kept.get, [], set()
+            for i in plain:
+                pieces = self.pattern.findall(texts[i].lower() if self.lowered else texts[i])
+                ids = list(map(get, pieces))
+                if None in ids:
+                    missing = [k for k, x in enumerate(ids) if x is None]
+                    new.update(map(pieces.__getitem__, missing))
+                    late.append((i, pieces, ids, missing))
+                else:
+                    out[i] = b"".join(ids)
+            first = list(new)
+            self.kept.update(zip(first, self.whole(first)))
+            for i, pieces, ids, missing in late:
+                for k in missing:
+                    ids[k] = self.kept[pieces[k]]
+                out[i] = b"".join(ids)
         return out

@@ -56,19 +56,57 @@ def test_language_accuracy(spark, docs):
     assert (rows.lang_pred == rows.lang).mean() > 0.95
 
 
-def test_code_lengths_equal_a_walk_down_the_tree():
-    samples = {"x": [b"abracadabra " * 30], "y": [b"banana bandana " * 30]}
+def ppm_bits(text, sample, least):
+    """Method C straight from the sample's bytes: escape wherever a symbol was not seen after the context."""
+    full = [b"\xff\xfe\xfd" + t for t in sample]  # stands before a start; the texts of the test are ASCII
+
+    def after(context):
+        found = Counter()
+        for t in full:
+            at = t.find(context) if context else 3
+            while context and at >= 0:
+                if len(context) + at >= 3 and at + len(context) < len(t):
+                    found[t[at + len(context)]] += 1
+                at = t.find(context, at + 1)
+            if not context:
+                found.update(t[3:])
+        return found
+
+    def p(context, symbol):
+        if context is None:
+            return 1 / 256
+        shorter = context[1:] if context else None
+        c = after(context)
+        n, d = sum(c.values()), len(c)
+        if n == 0 or len(context) > 1 and n < least:
+            return p(shorter, symbol)
+        return c[symbol] / (n + d) if c[symbol] else d / (n + d) * p(shorter, symbol)
+
+    whole = b"\xff\xfe\xfd" + text
+    return -sum(math.log2(p(whole[i - 3 : i], whole[i])) for i in range(3, len(whole)))
+
+
+def test_code_lengths_equal_counts_and_escapes():
+    samples = {"x": [b"abracadabra " * 30, b"a bra"], "y": [b"banana bandana " * 30]}
     model = langid.train(samples, langid.PpmParams(min_context_count=5))
-    text = b"a banana abra"
-    got = langid.code_lengths([text, b"", b"zz"], model)
-    cls = [63, 63, 63] + [int(model.byte_class[c]) for c in text]
-    slow = sum(model.cost[model.node_of[(cls[i - 3] * 64 + cls[i - 2]) * 64 + cls[i - 1]] * 64 + cls[i]] for i in range(3, len(cls)))
-    assert np.allclose(got[0], slow, rtol=1e-5) and (got[1] == 0).all()
-    p = np.exp2(-model.cost[:, 0].reshape(-1, 64) + np.log2(np.maximum(np.bincount(model.byte_class, minlength=64), 1)))
-    assert (p.sum(axis=1) < 1.02).all()
+    texts = [b"a banana abra", b"", b"zz", b"brad?", b"nab! nab"]
+    got = langid.code_lengths(texts, model)
+    for i, t in enumerate(texts):
+        assert np.allclose(got[i], [ppm_bits(t, samples[x], 5) for x in "xy"], rtol=1e-5)
     assert langid.predict([None, "123", "banana"], model)[0] == ["und", "und", "y"]
 
 
+def test_language_ties_and_names(spark):
+    same = [b"one two three"] * 3
+    model = langid.train({"b\nc": same, "a": same})
+    assert langid.predict(["two one"], model)[0] == ["a"] and langid.predict(["two one"], model)[1][0] == 0.5
+    rows = [(i, "eins zwei drei vier " * 9 if i % 2 else "one two three four " * 9, "d\ne" if i % 2 else "en") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = df.select("lang", langid.predictor(langid.fit(df), spark)("text").alias("p")).collect()
+    assert all(r.p.lang_pred == r.lang for r in got)
+    assert langid.predict(["日本語のテキスト", "Привет"], model)[0] == ["a", "a"]
+
+
 def brute_components(rows):
     sets = {}
     for i, t in rows:
