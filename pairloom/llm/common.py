@@ -145,12 +145,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
     """(doc_id, text, label) of at most ``max_rows`` labelled rows outside the held-out fold, by smallest id hash.
 
-    ``max_rows`` bounds what is broadcast. Rows with a null id or label are left out; with
-    repeated label rows the first by value counts.
+    ``max_rows`` bounds what is broadcast and learned. Rows with a null id or label are left
+    out; of rows that repeat an id the smallest label and the smallest text count.
     """
     chosen = (
         labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
         .groupBy("doc_id").agg(F.min(label).alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))

@@ -1,10 +1,12 @@
 """Quality: nearest-neighbour voting among latent-semantic vectors.
 
-Documents become tf-idf counts of hashed words beside a block of word shapes and repetition
-rates; a truncated SVD fitted on a bounded sample of labelled rows (``KnnParams.max_rows``)
-projects the word block. The labelled vectors are broadcast (max_rows x (rank + shapes)
-floats); each batch of documents takes exact cosine products with all of them in one blocked
-product, and the nearest labels vote with their similarity as weight.
+A document's terms are its hashed words and, as further terms of the same vocabulary, the
+repetition patterns of each four words in a row (which neighbours are equal, and whether any
+others are). Term frequencies per thousand enter by their logarithm, weighted by idf; a truncated SVD
+fitted on a bounded sample of labelled rows (``KnnParams.max_rows``) projects them, so that
+a document is its latent-semantic vector and nothing else. The labelled vectors are broadcast
+(max_rows x rank floats); each batch of documents takes exact cosine products with all of them
+in one blocked product, and the nearest labels vote with their similarity as weight.
 
 Edge cases: a null or empty text has the zero vector, all cosines are 0 and it scores the
 share of good labels; without labelled rows each score is 0.5; repeated rows score alike.
@@ -17,23 +19,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.common import MEMO_LIMIT, labelled_sample, process_cache
 
-import xxhash
-
-WORD_BITS, SHAPES = 12, 40
+WORD_BITS, PATTERNS = 12, 16
+TERMS = (1 << WORD_BITS) + PATTERNS
 
 
 @dataclass(frozen=True)
 class KnnParams:
     max_rows: int = 4000
-    rank: int = 32
+    rank: int = 64
     neighbours: int = 25
     power: float = 8.0
-    word_weight: float = 0.6
 
 
 @dataclass(frozen=True)
@@ -45,66 +46,53 @@ class QualityModel:
     params: KnnParams
 
 
-def _shape(word: str) -> int:
-    """A word's shape among 32: its case, and whether it holds digits, marks or other signs."""
-    letters = sum(map(str.isalpha, word))
-    case = 0 if not letters else 1 if word.islower() else 2 if word.isupper() else 3
-    digits = any(map(str.isdigit, word))
-    odd = any(not c.isalnum() and c not in ".,;:'-" for c in word)
-    return case + 4 * digits + 8 * odd + 16 * (letters < len(word) / 2)
-
-
-class _Terms(dict):
-    """Memo from a word to its slot and shape in one number."""
+class _Words(dict):
+    """Memo from a word to the hash of its lower case."""
 
     def __missing__(self, word: str) -> int:
-        value = (xxhash.xxh32_intdigest(word.lower().encode("utf-8", "replace")) >> (32 - WORD_BITS)) * 32 + _shape(word)
+        value = xxhash.xxh32_intdigest(word.lower().encode("utf-8", "replace"))
         if len(self) < MEMO_LIMIT:
             self[word] = value
         return value
 
 
-def counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Word counts by slot, and the shape block."""
+def counts(text: str | None) -> np.ndarray:
+    """How often each term stands in a text."""
     words = text.split() if text else []
-    terms = np.fromiter(map(process_cache("terms", _Terms).__getitem__, words), np.int64, len(words))
-    slots, n = terms >> 5, max(1, len(words))
-    tf = np.bincount(slots, minlength=1 << WORD_BITS).astype(np.float32)
-    shapes = np.zeros(SHAPES, np.float32)
-    if words:
-        shapes[:32] = np.bincount(terms & 31, minlength=32) / n
-        shapes[32] = np.mean(slots[1:] == slots[:-1]) if n > 1 else 0
-        shapes[33] = tf.max() / n if n >= 20 else 0
-        shapes[34] = 1 - np.count_nonzero(tf) / min(n, 1 << WORD_BITS) if n >= 20 else 0
-        shapes[35] = min(1.0, text.count("\n") / n * 5)
-        shapes[36] = min(1.0, abs(len(text) / n - 6.5) / 20)
-        shapes[37] = 1.0 if n < 12 else 0.0
-    return tf, np.sqrt(shapes)
+    h = np.fromiter(map(process_cache("quality words", _Words).__getitem__, words), np.int64, len(words))
+    tf = np.zeros(TERMS, np.float32)
+    tf[:-PATTERNS] = np.bincount(h >> (32 - WORD_BITS), minlength=1 << WORD_BITS)
+    if len(h) >= 4:
+        a, b, c, d = h[:-3], h[1:-2], h[2:-1], h[3:]
+        pattern = (a == b) + 2 * (b == c) + 4 * (c == d) + 8 * ((a == c) | (b == d) | (a == d))
+        tf[-PATTERNS:] = np.bincount(pattern, minlength=PATTERNS)
+    return tf
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def embed(texts, idf: np.ndarray, basis: np.ndarray, p: KnnParams) -> np.ndarray:
-    """Unit rows: the projected word block and the shape block, weighted; zero where there are no words."""
-    pairs = [counts(t) for t in texts]
-    tf = np.stack([a for a, _ in pairs])
-    words = _unit((np.log1p(tf) * idf)) @ basis
-    shapes = _unit(np.stack([b for _, b in pairs]))
-    return _unit(np.hstack([_unit(words) * p.word_weight, shapes])).astype(np.float32)
+def _weighted(tf: np.ndarray) -> np.ndarray:
+    return np.log1p(tf * (1000 / np.maximum(tf.sum(axis=1, keepdims=True), 1)))
+
+
+def embed(texts, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Unit latent-semantic vectors as rows; zero where there are no words."""
+    x = _weighted(np.stack([counts(t) for t in texts]))
+    return _unit(_unit(x * idf) @ basis).astype(np.float32)
 
 
 def fit_arrays(texts: list[str], labels: np.ndarray, p: KnnParams) -> QualityModel:
-    tf = np.stack([counts(t)[0] for t in texts]) if texts else np.zeros((0, 1 << WORD_BITS), np.float32)
-    idf = np.log((1 + len(tf)) / (1 + (tf > 0).sum(axis=0))).astype(np.float32) + 1
-    x = _unit(np.log1p(tf) * idf)
+    x = _weighted(np.stack([counts(t) for t in texts])) if texts else np.zeros((0, TERMS), np.float32)
+    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
+    x = _unit(x * idf)
     rng = np.random.default_rng(11)
-    q = rng.standard_normal((x.shape[1], min(p.rank, max(1, len(x)))) ).astype(np.float32)
+    q = rng.standard_normal((TERMS, min(p.rank, max(1, len(x))))).astype(np.float32)
     for _ in range(6):  # subspace iteration towards the leading right singular vectors
         q, _ = np.linalg.qr(x.T @ (x @ q))
-    vectors = embed(texts, idf, q, p) if texts else np.zeros((0, q.shape[1] + SHAPES), np.float32)
-    return QualityModel(idf, q.astype(np.float32), vectors, labels.astype(np.float32), p)
+    q = q.astype(np.float32)
+    return QualityModel(idf, q, _unit(x @ q).astype(np.float32), labels.astype(np.float32), p)
 
 
 def vote(x: np.ndarray, model: QualityModel, block: int = 256) -> np.ndarray:
@@ -143,7 +131,7 @@ def scorer(model: QualityModel, spark):
     @F.pandas_udf("double")
     def quality(texts: pd.Series) -> pd.Series:
         m = shared.value
-        out = [vote(embed(texts[s : s + 256], m.idf, m.basis, m.params), m) for s in range(0, len(texts), 256)]
+        out = [vote(embed(texts[s : s + 256], m.idf, m.basis), m) for s in range(0, len(texts), 256)]
         return pd.Series(np.concatenate(out) if out else np.zeros(0))
 
     return quality

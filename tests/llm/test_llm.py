@@ -51,6 +51,48 @@ def test_scores_rank_held_out_rows(spark, name, label):
     assert all(h == (zlib.crc32(str(d).encode()) % 5 == 0) for d, h in zip(rows.doc_id, rows.held_out))
 
 
+def test_votes_equal_brute_force():
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdef"), 3)) for _ in range(80)]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 40))) for _ in range(60)] + ["", "a a a a a a"]
+    labels = rng.integers(0, 2, 62)
+    p = quality.KnnParams(rank=8, neighbours=7)
+    model = quality.fit_arrays(texts, labels, p)
+    got = quality.vote(quality.embed(texts, model.idf, model.basis), model, block=16)
+    for t, score in zip(texts, got):
+        tf = quality.counts(t).astype(float)
+        v = (np.log1p(tf * 1000 / max(tf.sum(), 1)) * model.idf) @ model.basis
+        cos = [float(v @ w) / max(float(np.linalg.norm(v)), 1e-12) for w in model.vectors.astype(float)]
+        near = sorted(range(62), key=lambda i: -cos[i])[:7]
+        weight = [max(cos[i], 0) ** p.power for i in near]
+        want = sum(w * labels[i] for w, i in zip(weight, near)) / sum(weight) if sum(weight) > 1e-12 else labels.mean()
+        assert abs(score - want) < 1e-3
+    assert np.allclose(np.linalg.norm(model.basis, axis=0), 1, atol=1e-4)
+
+
+def test_ftrl_equals_a_coordinate_at_a_time():
+    rng = np.random.default_rng(6)
+    rows = [(np.unique(rng.integers(0, 64, 9)), int(rng.integers(0, 2))) for _ in range(50)]
+    p = toxicity.FtrlParams(bits=6, epochs=3, l1=0.3)
+    b, w = toxicity.ftrl(rows, p)
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        l1 = 0.0 if i == "b" else p.l1
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((p.beta + math.sqrt(n[i])) / p.alpha + p.l2)
+
+    for _ in range(p.epochs):
+        for slots, y in rows:
+            at = [*slots.tolist(), "b"]
+            now = {i: weight(i) for i in at}
+            g = 1 / (1 + math.exp(-sum(now.values()))) - y
+            for i in at:
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / p.alpha
+                z[i] += g - sigma * now[i]
+                n[i] += g * g
+    assert math.isclose(b, weight("b"), abs_tol=1e-9) and np.allclose(w, [weight(i) for i in range(64)], atol=1e-9)
+
+
 def test_language_accuracy(spark, docs):
     rows = catalog.op10_language(spark, SF).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").toPandas()
     assert (rows.lang_pred == rows.lang).mean() > 0.95
