@@ -8,7 +8,7 @@ zero, and at every line of ``LINE_CHARS`` characters or more, whatever stands ar
 insertions shift nothing. From each start a chunk holds the fewest lines, two at least, that
 give ``LONG`` characters; a line of ``LONG`` characters is a chunk of its own too. Shorter
 chunks, of ``MIN_CHARS`` characters and two lines or more, run from one boundary of the
-rolling hash to the next, or are a whole text. So any run of whole lines that two texts share
+rolling hash to the next. A whole text is a chunk too. So any run of whole lines that two texts share
 holds equal chunks as soon as it has one line of ``LINE_CHARS`` characters with ``LONG`` characters from it on.
 
 Chunks that occur elsewhere too are removed wherever they are not the first occurrence (by
@@ -18,8 +18,8 @@ bytes themselves. Counting is partial before it is shuffled. A hash with more th
 ``HOT`` of all chunks meets the chunks by broadcast (there are at most ``HOT`` of these), so
 no group of copies gathers in one task. Text moves twice, by document.
 
-Edge cases: a null text stays null and an empty one empty; texts under ``MIN_CHARS`` characters, and
-texts of one line under ``LONG``, stay even where copied; rows that repeat both id and text
+Edge cases: a null text stays null and an empty one empty; texts under ``MIN_CHARS`` characters
+stay even where copied; rows that repeat both id and text
 are one occurrence and are treated alike; a null id orders first; an empty table gives no
 rows; other columns pass through unchanged, also when they are named like ours.
 """
@@ -83,14 +83,8 @@ def _short_lines(i: Column) -> Column:
     return F.when((following - i >= 2) & (following <= last) & chars.between(MIN_CHARS, LONG - 1), following - i)
 
 
-def _text_lines() -> Column:
-    """All lines of a text that is a short chunk as a whole."""
-    chars = F.aggregate("n", F.lit(0), lambda t, x: t + x)
-    return F.when(F.get("long", F.lit(0)).isNull() & F.size("n").between(2, LONG) & chars.between(MIN_CHARS, LONG - 1), F.size("n"))
-
-
 def _chunk(i: Column, m: Column) -> Column:
-    return i.cast("long") * 128 + m  # m is LONG at most
+    return i.cast("long") * 128 + m  # m is LONG at most; 0 stands for the whole text
 
 
 def _found() -> Column:
@@ -100,8 +94,13 @@ def _found() -> Column:
     long = F.transform("long", lambda m, i: F.when(((i > 0) | F.get("cut", i) | (F.get("n", i) >= LINE_CHARS)) & ~alone(i, m), _chunk(i, m)))
     lines = F.transform("n", lambda n, i: F.when(n >= LONG, _chunk(i, F.lit(1))))
     few = F.filter(every, lambda i: ((i == 0) | F.get("cut", i)) & (F.get("n", i) < LONG) & F.coalesce(F.get("long", i) > 2, F.lit(True)))
-    short = F.transform(few, lambda i: _chunk(i, _short_lines(i)))
-    return F.array_compact(F.concat(long, lines, F.array_union(short, F.array(_chunk(F.lit(0), _text_lines())))))
+    short = F.transform(few, lambda i: F.when((i > 0) | (_short_lines(i) < F.size("n")), _chunk(i, _short_lines(i))))
+    # The whole text is a chunk too, unless it is one already.
+    zero, first = F.lit(0), F.get("n", F.lit(0))
+    covered = (F.size("n") == F.get("long", zero)) & ((first >= LINE_CHARS) | F.get("cut", zero)) & ~alone(zero, F.get("long", zero))
+    known = F.coalesce(covered, F.lit(False)) | ((F.size("n") == 1) & (first >= LONG))
+    whole = F.when(~known, _chunk(F.lit(0), F.lit(0)))
+    return F.array_compact(F.concat(long, lines, short, F.array(whole)))
 
 
 def chunks(docs: DataFrame) -> DataFrame:
@@ -114,6 +113,7 @@ def chunks(docs: DataFrame) -> DataFrame:
     rows = _computed(rows, "found", _found()).select("k1", "k2", "h", "found")
     each = rows.select("k1", "k2", "h", F.explode("found").alias("x"))
     each = each.select("k1", "k2", "h", F.shiftright("x", 7).cast("int").alias("s"), F.col("x").bitwiseAND(F.lit(127).cast("long")).cast("int").alias("m"))
+    each = each.withColumn("m", F.when(F.col("m") == 0, F.size("h")).otherwise(F.col("m")))
     return each.select("k1", "k2", "s", "m", F.xxhash64(F.slice("h", F.col("s") + 1, F.col("m"))).alias("hash"))
 
 

@@ -334,9 +334,7 @@ def brute_chunks(bare):
             j = next(j for j in range(i + 1, size + 1) if j == size or cut[j])
             if 2 <= j - i <= 64 and 40 <= sum(n[i:j]) < 64:
                 found.add((i, j - i))
-    if 2 <= size <= 64 and 40 <= sum(n) < 64:
-        found.add((0, size))
-    return found
+    return found | {(0, size)}
 
 
 def brute_dedup(rows):
@@ -620,3 +618,39 @@ def test_pipeline_line_dedup_keeps_own_text(spark):
     got = {r.doc_id: (r.text, r.n_chars) for r in cp.dedup_lines(spark, df, "").collect()}
     assert set(got) == {1, 2, 4} and got[1][0] == shared and got[2] == ("A few words of its own.", 23)
     assert got[4][0].startswith("Line 0 that") and 4 * got[4][1] < len(twice)
+
+
+def test_pipeline_stages_take_odd_rows(spark, odd, none, tmp_path):
+    import corpus_pipeline as cp
+
+    spark.createDataFrame([(2, 1), (3, 0), (None, 1), (4, None)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "no words of theirs at all"), (None, "x"), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = {}
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, odd, str(tmp_path))
+        assert out.columns == odd.columns and out.dtypes == odd.dtypes
+        kept[name] = sorted((r.doc_id if r.doc_id is not None else -1, r.text or "", r.lines_removed or "") for r in out.collect())
+        assert stage(spark, none, str(tmp_path)).count() == 0
+    every = sorted((r.doc_id if r.doc_id is not None else -1, r.text or "", r.lines_removed or "") for r in odd.collect())
+    assert kept["decontamination"] == every and kept["line_dedup"] == every
+    assert [x[0] for x in kept["near_dedup"]] == [-1, 0, 1, 2, 3, 4, 4, 6, 7, 8]
+    assert cp.pack_sequences(spark, odd, "").agg(F.sum("length")).first()[0] > 20_000
+
+
+def test_pipeline_equals_its_operators(spark):
+    """On the smallest tables each stage keeps what the operators' own results say."""
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    dense = model.dense()
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    rows = [(i, t) for i, t in rows if toxicity.sigmoid(model.intercept + toxicity.margin(t, dense, model.bits)) < 0.5]
+    cut = brute_dedup(rows)
+    rows = [(i, cut[i, t][0]) if t else (i, t) for i, t in rows if not t or cut[i, t][0].strip()]
+    root = brute_components(rows)
+    rows = [(i, t) for i, t in rows if root[i][1] == i]
+    bench = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    linked = {i for i, t in rows if any(edit_links(t, x) for x in bench)}
+    got = set(r.doc_id for r in cp.run(spark, SF).select("doc_id").distinct().collect())
+    assert {i for i, _ in rows} - linked <= got <= {i for i, _ in rows} and len(got & linked) <= 0.05 * len(linked)
