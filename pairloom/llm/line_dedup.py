@@ -128,7 +128,10 @@ def repeated(made: DataFrame) -> DataFrame:
     counts = written(made.groupBy("hash").agg(F.count("*").alias("times"), F.min("k1").alias("low")).filter("times > 1"), "counts")
     hot = F.col("times") * HOT > total  # fewer than HOT hashes
     often, seldom = F.broadcast(counts.filter(hot).select("hash", "low")), counts.filter(~hot).select("hash", "low").hint("shuffle_hash")  # a partition has two of its chunks at least to each of these
-    shared = made.join(often.select("hash"), "hash", "left_anti").join(seldom, "hash").unionByName(made.join(often, "hash"))
+    if counts.filter(hot).isEmpty():
+        shared = made.join(seldom, "hash")
+    else:
+        shared = made.join(often.select("hash"), "hash", "left_anti").join(seldom, "hash").unionByName(made.join(often, "hash"))
     out = written(shared, "repeated")
     discard(counts)
     return out
