@@ -18,8 +18,9 @@ def _daily(panel: DataFrame) -> DataFrame:
 
 
 def buy_and_hold(panel: DataFrame, ticker: str) -> DataFrame:
-    rows = _daily(panel.filter(F.col("ticker") == ticker))
-    return rows.select(F.lit(f"buy_hold_{ticker}").alias("strategy"), "date", F.coalesce("ret", F.lit(0.0)).alias("net_return"))
+    """Returns between a ticker's priced days; the first day has none."""
+    rows = _daily(panel.filter((F.col("ticker") == ticker) & F.col("close").isNotNull())).filter(F.col("ret").isNotNull())
+    return rows.select(F.lit(f"buy_hold_{ticker}").alias("strategy"), "date", F.col("ret").alias("net_return"))
 
 
 def month_ends(panel: DataFrame) -> DataFrame:
@@ -73,10 +74,11 @@ def mean_reversion(panel: DataFrame, ticker: str, rows: int = 20, bound: float =
 
 
 def balanced(panel: DataFrame, equity: str, bond: str, share: float = 0.6) -> DataFrame:
-    rows = _daily(panel.filter(F.col("ticker").isin(equity, bond)))
+    """Weighted returns of the days on which both have one."""
+    rows = _daily(panel.filter(F.col("ticker").isin(equity, bond))).filter(F.col("ret").isNotNull())
     e, b = (rows.filter(F.col("ticker") == t).select("date", F.col("ret").alias(c)) for t, c in ((equity, "e"), (bond, "b")))
     ret = share * F.col("e") + (1 - share) * F.col("b")
-    return e.join(b, "date").select(F.lit("balanced_60_40").alias("strategy"), "date", F.coalesce(ret, F.lit(0.0)).alias("net_return"))
+    return e.join(b, "date").select(F.lit("balanced_60_40").alias("strategy"), "date", ret.alias("net_return"))
 
 
 def run_all(panel: DataFrame, equity: str, second: str, bond: str) -> DataFrame:

@@ -89,7 +89,7 @@ def longest_runs(each: DataFrame, *keys: str) -> DataFrame:
 
 
 def trade_report(profits: DataFrame, *keys: str) -> DataFrame:
-    """Nine trade metrics per key; all zero for a key without trades."""
+    """Nine trade metrics and the gross profit per key; all zero for a key without trades."""
     each = trades(profits, *keys)
     p, win = F.col("pnl"), F.col("pnl") > 0
     a = each.groupBy(*keys).agg(
@@ -98,7 +98,7 @@ def trade_report(profits: DataFrame, *keys: str) -> DataFrame:
     )
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     factor = F.when(zero(F.col("lost")) == 0, F.lit(math.inf)).otherwise(F.try_divide(zero(F.col("won")), F.col("lost")))
-    full_ = a.join(longest_runs(each, *keys), [*keys]).select(*keys, "n_trades", "win_rate", factor.alias("profit_factor"), zero(F.col("w")).alias("avg_win"), zero(F.col("l")).alias("avg_loss"), zero(F.col("e")).alias("expectancy"), "max_wins", "max_losses", zero(F.col("won")).alias("gross_profit"))
+    full_ = a.join(longest_runs(each, *keys), [*keys]).select(*keys, "n_trades", "win_rate", factor.alias("profit_factor"), zero(F.col("w")).alias("avg_win"), zero(F.col("l")).alias("avg_loss"), zero(F.col("e")).alias("avg_trade_pnl"), zero(F.col("e")).alias("expectancy"), "max_wins", "max_losses", zero(F.col("won")).alias("gross_profit"))
     every = profits.select(*keys).distinct()
     out = every.join(full_, [*keys], "left")
     return out.fillna(0, subset=[c for c in full_.columns if c not in keys])

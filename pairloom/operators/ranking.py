@@ -112,10 +112,12 @@ def _minmax(x: str):
 
 
 def stat_score(coint: DataFrame, life: tuple[float, float] = (5, 60)) -> DataFrame:
+    """Adds the statistical score in [0, 1]; 0 where any of its three terms is missing."""
     mid = (life[0] + life[1]) / 2
-    central = F.least(F.greatest(1 - F.abs(F.col("half_life") - mid) / mid, F.lit(0.0)), F.lit(1.0))
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return coint.withColumn("stat_score", 0.4 * zero(1 - _minmax("eg_pvalue")) + 0.3 * zero(1 - _minmax("adf_pvalue")) + 0.3 * zero(central))
+    near = 1 - F.abs(F.col("half_life") - mid) / mid
+    central = F.when(near < 0, 0.0).when(near > 1, 1.0).otherwise(near)
+    whole = 0.4 * (1 - _minmax("eg_pvalue")) + 0.3 * (1 - _minmax("adf_pvalue")) + 0.3 * central
+    return coint.withColumn("stat_score", F.coalesce(whole, F.lit(0.0)))  # one missing term leaves no score
 
 
 def rank(coint: DataFrame, ml: DataFrame | None = None, top: int = 20, life: tuple[float, float] = (5, 60), hurst_max: float = 0.5) -> DataFrame:

@@ -238,10 +238,10 @@ query("pair_stop_loss", statement(f"SELECT ticker_a, ticker_b, date, CASE WHEN d
 # Metrics
 PERF = "total_return cagr annual_vol daily_mean daily_std skewness kurtosis best_day worst_day max_drawdown avg_drawdown sharpe sortino calmar omega var_95 cvar_95 var_99 cvar_99"
 query("perf_report", rounded("perf", "drawdown_days, recovery_days", PERF, 5), 5)(lambda s, d: M.report(curve(s, d)).withColumn("recovery_days", F.col("recovery_days").cast("long")))
-query("trade_metrics", statement(f"""SELECT {K}, n_trades, round(win_rate, 6) AS win_rate, round(CASE WHEN lost = 0 THEN CAST('Infinity' AS DOUBLE) ELSE won / lost END, 4) AS profit_factor, round(w, 4) AS avg_win, round(l, 4) + 0.0 AS avg_loss, round(e, 4) + 0.0 AS expectancy, max_wins, max_losses, round(won, 4) AS gross_profit
+query("trade_metrics", statement(f"""SELECT {K}, n_trades, round(win_rate, 6) AS win_rate, round(CASE WHEN lost = 0 THEN CAST('Infinity' AS DOUBLE) ELSE won / lost END, 4) AS profit_factor, round(w, 4) AS avg_win, round(l, 4) + 0.0 AS avg_loss, round(e, 4) + 0.0 AS avg_trade_pnl, round(e, 4) + 0.0 AS expectancy, max_wins, max_losses, round(won, 4) AS gross_profit
   FROM (SELECT {K}, count(*) AS n_trades, avg(CAST(pnl > 0 AS DOUBLE)) AS win_rate, coalesce(sum(pnl) FILTER (pnl > 0), 0) AS won, coalesce(sum(-pnl) FILTER (pnl <= 0), 0) AS lost, coalesce(avg(pnl) FILTER (pnl > 0), 0) AS w, coalesce(avg(pnl) FILTER (pnl <= 0), 0) AS l, avg(pnl) AS e FROM trd GROUP BY 1, 2)
   JOIN (SELECT {K}, coalesce(max(len) FILTER (win), 0) AS max_wins, coalesce(max(len) FILTER (NOT win), 0) AS max_losses FROM runs GROUP BY 1, 2) USING (ticker_a, ticker_b)"""))(
-    lambda s, d: M.trade_report(toy_positions(s, d), *PAIR).withColumns({c: F.round(c, 4) for c in ("profit_factor", "avg_win", "avg_loss", "expectancy", "gross_profit")})
+    lambda s, d: M.trade_report(toy_positions(s, d), *PAIR).withColumns({c: F.round(c, 4) for c in ("profit_factor", "avg_win", "avg_loss", "avg_trade_pnl", "expectancy", "gross_profit")})
 )
 query("rolling_sharpe", statement("SELECT date, round(CASE WHEN count(net_return) OVER w = 63 THEN (avg(net_return) OVER w - 0.05 / 252) / nullif(stddev_samp(net_return) OVER w, 0) * sqrt(252) END, 5) + 0.0 AS rolling_sharpe FROM daily WINDOW w AS (ORDER BY date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)"), 5)(lambda s, d: M.rolling_sharpe(daily(s, d)).select("date", "rolling_sharpe"))
 query("rolling_volatility", statement("SELECT date, round(CASE WHEN count(net_return) OVER w = 21 THEN stddev_samp(net_return) OVER w * sqrt(252) END, 6) AS rolling_vol FROM daily WINDOW w AS (ORDER BY date ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)"))(lambda s, d: M.rolling_volatility(daily(s, d)).select("date", "rolling_vol"))

@@ -63,10 +63,10 @@ CTES: dict[str, str] = {
       SELECT b.rn, CASE WHEN b.z IS NULL THEN t.state WHEN t.state = 0 THEN CASE WHEN b.z < -1.5 THEN 1 WHEN b.z > 1.5 THEN -1 ELSE 0 END WHEN b.z * t.state > 0 THEN 0 ELSE t.state END,
         CASE WHEN b.z IS NULL THEN 0 WHEN t.state = 0 THEN CASE WHEN b.z < -1.5 THEN 1 WHEN b.z > 1.5 THEN -1 ELSE 0 END WHEN b.z * t.state > 0 THEN 0 ELSE t.state END, b.date, coalesce(b.ret, 0), t.shown
       FROM bsm t JOIN bol b ON b.rn = t.rn + 1""",
-    "bench": """SELECT 'buy_hold_NATION_0' AS strategy, date, coalesce(ret, 0) AS net_return FROM rets WHERE ticker = 'NATION_0'
-      UNION ALL SELECT 'buy_hold_NATION_1', date, coalesce(ret, 0) FROM rets WHERE ticker = 'NATION_1' UNION ALL SELECT 'momentum', date, net_return FROM momd
+    "bench": """SELECT 'buy_hold_NATION_0' AS strategy, date, ret AS net_return FROM rets WHERE ticker = 'NATION_0' AND ret IS NOT NULL
+      UNION ALL SELECT 'buy_hold_NATION_1', date, ret FROM rets WHERE ticker = 'NATION_1' AND ret IS NOT NULL UNION ALL SELECT 'momentum', date, net_return FROM momd
       UNION ALL SELECT 'mean_reversion', date, held * ret FROM bsm WHERE rn > 0
-      UNION ALL SELECT 'balanced_60_40', e.date, coalesce(0.6 * e.ret + 0.4 * b.ret, 0) FROM rets e JOIN rets b ON e.date = b.date WHERE e.ticker = 'NATION_0' AND b.ticker = 'NATION_5'""",
+      UNION ALL SELECT 'balanced_60_40', e.date, 0.6 * e.ret + 0.4 * b.ret FROM rets e JOIN rets b ON e.date = b.date WHERE e.ticker = 'NATION_0' AND b.ticker = 'NATION_5' AND e.ret IS NOT NULL AND b.ret IS NOT NULL""",
     "lcg": "SELECT p AS path_id, s AS step, CAST((p * 7919 + s * 104729) % 65536 * 1103515245 + 12345 AS BIGINT) % 2147483648 / 2147483648.0 AS u FROM (SELECT unnest(generate_series(0, 199)) AS p) CROSS JOIN (SELECT unnest(generate_series(1, 63)) AS s)",
     "paths": "SELECT path_id, CAST(step AS INTEGER) AS step, 100000 * exp(sum(0.04 * (u - 0.5)) OVER (PARTITION BY path_id ORDER BY step ROWS UNBOUNDED PRECEDING)) AS value FROM lcg UNION ALL SELECT path_id, 0, 100000.0 FROM lcg WHERE step = 1",
     "nret": "SELECT date, net_return, row_number() OVER (ORDER BY date) - 1 AS pos, count(*) OVER () AS n, avg(net_return) OVER () AS mean FROM daily",

@@ -110,7 +110,7 @@ def group_of(members: DataFrame, tickers: DataFrame) -> DataFrame:
 
 
 def fetch(panel: DataFrame, tickers: Iterable[str] | None = None, start: str | None = None, end: str | None = None, column: str = "close") -> DataFrame:
-    """(ticker, date, column) within [start, end); filters reach the scan. No rows at all is an error for the caller to see."""
+    """(ticker, date, column) within [start, end); filters reach the scan. No rows at all is a ValueError."""
     out = panel
     if tickers is not None:
         out = out.filter(F.col("ticker").isin(list(tickers)))
@@ -118,7 +118,10 @@ def fetch(panel: DataFrame, tickers: Iterable[str] | None = None, start: str | N
         out = out.filter(F.col("date") >= F.lit(start).cast("date"))
     if end:
         out = out.filter(F.col("date") < F.lit(end).cast("date"))
-    return out.select("ticker", "date", column).filter(F.col(column).isNotNull())
+    out = out.select("ticker", "date", column).filter(F.col(column).isNotNull())
+    if out.isEmpty():
+        raise ValueError(f"no {column} of {'any ticker' if tickers is None else list(tickers)} from {start} to {end}")
+    return out
 
 
 BAR_JSON = "meta struct<symbol: string>, series map<string, struct<`1. open`: string, `2. high`: string, `3. low`: string, `4. close`: string, `5. adjusted close`: string, `6. volume`: string>>"

@@ -120,3 +120,47 @@ def test_ml_queries_learn_with_the_defaults(spark, monkeypatch):
         catalog.QUERIES[name](spark, SF)
     learn = ("pipeline", (), {})
     assert given == [learn, ("score", "model", (), {}), learn, ("importance", "model", (), {}), ("cross_validate", None, (), {}), ("search", None, (), {}), ("score", "best", (), {})]
+
+
+def days(spark, rows):
+    from pyspark.sql import functions as F
+
+    return spark.createDataFrame(rows, "ticker string, d string, close double").withColumn("date", F.to_date("d")).drop("d")
+
+
+def test_benchmarks_start_with_the_first_return(spark):
+    from pairloom.operators import benchmarks
+
+    p = days(spark, [("E", "2020-01-01", 100.0), ("E", "2020-01-02", 110.0), ("E", "2020-01-03", None), ("E", "2020-01-06", 99.0), ("B", "2020-01-01", 50.0), ("B", "2020-01-02", 55.0), ("B", "2020-01-03", 55.0), ("B", "2020-01-06", 55.0)])
+    held = sorted((str(r.date), round(r.net_return, 9)) for r in benchmarks.buy_and_hold(p, "E").collect())
+    assert held == [("2020-01-02", 0.1), ("2020-01-06", -0.1)]
+    mixed = sorted((str(r.date), round(r.net_return, 9)) for r in benchmarks.balanced(p, "E", "B").collect())
+    assert mixed == [("2020-01-02", 0.1)]  # 0.6 * 0.1 + 0.4 * 0.1; the other days lack an equity return
+
+
+def test_a_missing_term_leaves_no_statistical_score(spark):
+    from pairloom.operators import ranking
+
+    rows = [("a", "b", 0.0, 0.0, 32.5), ("a", "c", 0.1, 0.2, 32.5), ("a", "d", None, 0.1, 32.5), ("a", "e", 0.1, 0.1, None), ("a", "f", 0.1, 0.2, 100.0)]
+    df = spark.createDataFrame(rows, "ticker_a string, ticker_b string, eg_pvalue double, adf_pvalue double, half_life double")
+    got = {r.ticker_b: round(r.stat_score, 9) for r in ranking.stat_score(df).collect()}
+    assert got == {"b": 1.0, "c": 0.3, "d": 0.0, "e": 0.0, "f": 0.0}
+
+
+def test_trades_of_a_hand_made_series(spark):
+    from pyspark.sql import functions as F
+
+    from pairloom.operators import metrics
+
+    rows = [(1, 0, 5.0), (2, 1, 3.0), (3, 1, -1.0), (4, -1, -4.0), (5, 0, 9.0), (6, 1, 6.0)]
+    df = spark.createDataFrame(rows, "n int, position int, net_pnl double").withColumn("date", F.date_add(F.lit("2020-01-01").cast("date"), F.col("n"))).withColumn("k", F.lit("x"))
+    r = metrics.trade_report(df, "k").first()
+    assert (r.n_trades, round(r.win_rate, 6), r.profit_factor, r.avg_win, r.avg_loss, round(r.avg_trade_pnl, 6), r.max_wins, r.max_losses) == (3, 0.666667, 2.0, 4.0, -4.0, 1.333333, 1, 1)
+    assert r.avg_trade_pnl == r.expectancy
+
+
+def test_fetching_nothing_is_an_error(spark):
+    from pairloom.sources import panel
+
+    with pytest.raises(ValueError):
+        panel.fetch(days(spark, [("E", "2020-01-01", 1.0)]), ["NOBODY"])
