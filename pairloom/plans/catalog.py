@@ -176,6 +176,19 @@ query("rolling_corr_matrix", statement("SELECT ticker_a, ticker_b, date, round(c
 query("rolling_corr_spearman", statement(f"SELECT {K}, date, round(c, 5) + 0.0 AS corr FROM (SELECT {K}, date, count(*) OVER w AS n, corr(a, rb) OVER w AS c FROM (SELECT *, rank() OVER (PARTITION BY {K} ORDER BY b) + (count(*) OVER (PARTITION BY {K}, b) - 1) / 2.0 AS rb FROM rlegs) WINDOW w AS (PARTITION BY {K} ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)) WHERE n = 60"), 5)(lambda s, d: P.rolling(return_legs(s, d), 60, "spearman"))
 query("corr_stability", statement(f"SELECT {K}, round(avg(corr), 6) + 0.0 AS mean, round(stddev_samp(corr), 6) AS std, round(min(corr), 6) + 0.0 AS low, round(max(corr), 6) + 0.0 AS high, round(avg(CAST(corr > 0 AS DOUBLE)), 6) AS share_positive, round(avg(CAST(abs(corr) >= 0.2 AS DOUBLE)), 6) AS share_above FROM rolls WHERE corr IS NOT NULL GROUP BY 1, 2"))(lambda s, d: P.stability(P.rolling(return_legs(s, d), 60), 0.2))
 
+# The same over every pair of tickers
+_ALL = "(SELECT x.ticker AS ticker_a, y.ticker AS ticker_b, x.date, x.ret AS a, y.ret AS b FROM rets x JOIN rets y ON x.date = y.date AND x.ticker < y.ticker WHERE x.ret IS NOT NULL AND y.ret IS NOT NULL)"
+
+
+def all_legs(s, d):
+    return P.legs(rets(s, d), P.across(src.universe(s, d)), "ret")
+
+
+query("corr_matrix", statement(f"SELECT {K}, round(corr(a, b), 6) + 0.0 AS correlation, count(*) AS n FROM {_ALL} GROUP BY 1, 2"))(lambda s, d: P.correlation(all_legs(s, d)))
+query("corr_matrix_spearman", statement(f"SELECT {K}, round(corr(ra, rb), 6) + 0.0 AS correlation, count(*) AS n FROM ({_RANKS.replace('FROM rlegs', 'FROM ' + _ALL)}) GROUP BY 1, 2"))(lambda s, d: P.correlation(all_legs(s, d), "spearman"))
+query("corr_matrix_high", statement(f"SELECT {K}, round(c, 6) + 0.0 AS correlation, n FROM (SELECT {K}, corr(a, b) AS c, count(*) AS n FROM {_ALL} GROUP BY 1, 2) WHERE abs(c) >= 0.05"))(lambda s, d: P.high(P.correlation(all_legs(s, d)), 0.05))
+query("rolling_corr_all", statement(f"SELECT {K}, date, round(c, 5) + 0.0 AS corr FROM (SELECT {K}, date, count(*) OVER w AS n, corr(a, b) OVER w AS c FROM {_ALL} WINDOW w AS (PARTITION BY {K} ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)) WHERE n = 60"), 5)(lambda s, d: P.rolling(all_legs(s, d), 60))
+
 # Spreads
 query("ols_spread", rounded("spr", f"{K}, date", "hedge_ratio intercept spread"))(lambda s, d: S.ols(log_legs(s, d)).select(*PAIR, "date", "hedge_ratio", "intercept", "spread"))
 query("rolling_ols_spread", statement(f"SELECT {K}, date, round(h, 5) + 0.0 AS hedge_ratio, round(a - h * b, 4) + 0.0 AS spread FROM (SELECT *, CASE WHEN count(a) OVER w = 60 THEN regr_slope(a, b) OVER w END AS h FROM llegs WINDOW w AS (PARTITION BY {K} ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)) WHERE h IS NOT NULL"), 5)(
@@ -198,6 +211,7 @@ query("kalman_spread", statement(f"SELECT k.ticker_a, k.ticker_b, l.date, round(
 )
 query("characterise")(lambda s, d: S.characterise(log_legs(s, d)))
 query("coint_battery")(lambda s, d: S.cointegration(log_legs(s, d)))
+query("coint_by_pvalue")(lambda s, d: S.cointegration(log_legs(s, d)).orderBy("eg_pvalue", *PAIR))
 
 # Signals, execution, risk
 query("signals_state_machine", statement(f"SELECT {K}, date, CAST(signal AS INTEGER) AS signal, CAST(position AS INTEGER) AS position, CAST(holding_days AS INTEGER) AS holding_days, round(spread, 5) + 0.0 AS spread, round(zscore, 5) + 0.0 AS zscore, round(hedge_ratio, 5) + 0.0 AS hedge_ratio FROM sig"), 5)(lambda s, d: T.generate(legs(s, d)))
